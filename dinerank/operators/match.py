@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from dinerank.functions.text import clean_string, lower_strip, ustrip
 from dinerank.params import DEFAULT, Params
 from dinerank.schemas import BUDGET_LEVELS
+from dinerank.session import cut_lineage
 
 KEY = ["loc_q", "budget", "cui_q"]
 
@@ -184,7 +185,7 @@ def key_candidates(matches: DataFrame, params: Params = DEFAULT) -> DataFrame:
 
 
 def select_candidates(listings: DataFrame, requests: DataFrame,
-                      params: Params = DEFAULT) -> tuple[DataFrame, DataFrame]:
+                      params: Params = DEFAULT, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
     """Candidate selection for a table of requests.
 
     Returns ``(candidates, stats)``:
@@ -192,13 +193,22 @@ def select_candidates(listings: DataFrame, requests: DataFrame,
     estimated_cost, budget_band, votes)`` and one row per valid request
     ``stats(request_id, total_before_cap, candidate_count, is_empty, was_capped)``.
     ``total_before_cap`` counts matches before name dedup.
+
+    Both outputs read the per-key match pairs; with ``materialize`` those
+    pairs are checkpointed once (reliable storage) instead of being joined
+    again for the second output.
     """
     req = valid_requests(requests, params)
     keys = req.select(*KEY).distinct()
-    matches = match_keys(listings, keys)
+    matches = match_keys(listings, keys).select(*KEY, "id", "name", "location", "cuisines", "rating",
+                                                "estimated_cost", "budget_band", "votes")
+    if materialize:
+        matches = cut_lineage(matches)
 
     # Per key: capped candidates (no rating filter) and a rating histogram.
     cands_k = key_candidates(matches, params)
+    if materialize:
+        cands_k = cut_lineage(cands_k)  # at most max_candidates rows per key
     hist = matches.groupBy(*KEY, "rating").agg(F.count(F.lit(1)).alias("_n"))
 
     # Per (key, min_rating): matches and candidates passing the threshold.

@@ -71,7 +71,12 @@ def valid(spark, sf):
 
 
 def candidates(spark, sf):
-    return match.select_candidates(listings(spark, sf), requests(spark, sf))[0]
+    """Capped candidates, checkpointed once per session and source: the
+    reply, merge and prompt operators start from them."""
+    key = ("candidates", id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _MEMO:
+        _MEMO[key] = cut_lineage(match.select_candidates(listings(spark, sf), requests(spark, sf))[0])
+    return _MEMO[key]
 
 
 def reply_items(spark, sf):
@@ -409,18 +414,19 @@ def q_prompts(spark, sf):
 # ---------------------------------------------------- 2.10 composites
 
 def q_select_candidates(spark, sf):
-    return candidates(spark, sf).select("request_id", "pos", "id")
+    cands, _ = match.select_candidates(listings(spark, sf), requests(spark, sf))
+    return cands.select("request_id", "pos", "id")
 
 
 def q_recommend_fallback(spark, sf):
-    recs, _ = recommend(listings(spark, sf), requests(spark, sf))
+    recs, _ = recommend(listings(spark, sf), requests(spark, sf), materialize=True)
     return recs.select("request_id", "rank", "listing_id", "explanation")
 
 
 def _recommend_with_replies(spark, sf):
     lst, req = listings(spark, sf), requests(spark, sf)
-    rep = fx.replies(fx.reply_items(match.select_candidates(lst, req)[0]))
-    return recommend(lst, req, rep)
+    rep = fx.replies(fx.reply_items(candidates(spark, sf)))
+    return recommend(lst, req, rep, materialize=True)
 
 
 def q_recommend(spark, sf):
