@@ -453,6 +453,21 @@ def q_reply_content(spark, sf):
     return score.reply_content(r.select("request_id", body.alias("body"))).select("request_id", "content")
 
 
+# --------------------------------------------------------------- streaming
+
+def q_stream_recommend(spark, sf):
+    """Requests arrive as files; the streaming query answers them against the
+    published listing table (rating fallback, no scorer)."""
+    from dinerank.streaming.requests_stream import answer_request_stream, read_answers
+
+    base = scratch_dir(spark)
+    io.publish(listings(spark, sf), f"{base}/listings")
+    requests(spark, sf).repartition(4).write.parquet(f"{base}/requests")
+    q = answer_request_stream(spark, f"{base}/listings", f"{base}/requests", f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return read_answers(spark, f"{base}/out").select("request_id", "rank", "listing_id", "explanation")
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -158,6 +158,7 @@ def oracle_sql() -> dict[str, str]:
         "else coalesce(text, 'none specified') end as text from documents")
     q["fallback_explanations"] = _w(L, R, C, FALLBACK_RECS) + "select request_id, rank, listing_id, explanation from fb"
     q["recommend_fallback"] = q["fallback_explanations"]
+    q["stream_recommend"] = q["fallback_explanations"]
     n_expr = "least(r.top_k, count(*))"
     summary = _fmt(FALLBACK_SUMMARY, f"cast({n_expr} as varchar)", "r.cuisine", "r.location", "r.budget")
     q["fallback_summary"] = _w(L, R, C) + (
