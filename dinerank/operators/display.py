@@ -31,6 +31,20 @@ def budget_label(band: Column) -> Column:
     return F.coalesce(band, F.lit("unknown"))
 
 
+def budget_chip(band: Column) -> Column:
+    """Card chip: 'Low budget' / 'Medium budget' / 'High budget' / 'Unknown budget'."""
+    return F.concat(F.initcap(F.coalesce(band, F.lit("unknown"))), F.lit(" budget"))
+
+
+def budget_option_label(band: Column, low_max: float = 500.0, medium_max: float = 1500.0) -> Column:
+    """Form option text with the band limits, e.g. 'Medium (≤ ₹1500)'."""
+    return (
+        F.when(band == "low", F.lit(f"Low (≤ ₹{low_max:.0f})"))
+        .when(band == "medium", F.lit(f"Medium (≤ ₹{medium_max:.0f})"))
+        .when(band == "high", F.lit(f"High (> ₹{medium_max:.0f})"))
+    )
+
+
 def rating_label(rating: Column) -> Column:
     return F.format_number(rating, 1)
 
@@ -48,5 +62,6 @@ def display_rows(recs: DataFrame) -> DataFrame:
         cuisines_label(F.col("cuisines")).alias("cuisines_label"),
         cost_label(F.col("estimated_cost")).alias("cost_label"),
         budget_label(F.col("budget_band")).alias("budget_label"),
+        budget_chip(F.col("budget_band")).alias("budget_chip"),
         "explanation",
     )

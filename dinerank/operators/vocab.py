@@ -31,6 +31,9 @@ AREA_OPTIONS = {
     "Richmond Road": "Richmond Road",
 }
 CUSTOM_AREA_OPTION = "Other (type custom area)"
+# The two cuisine input modes of the form.
+PICK_CUISINE_MODE = "Pick a cuisine"
+CUSTOM_CUISINE_MODE = "Enter custom cuisine"
 
 # Cuisines offered first, in this order.
 POPULAR_CUISINES = [
@@ -115,3 +118,11 @@ def resolve_area(picks: DataFrame, pick: str = "pick", custom: str = "custom") -
         .otherwise(ustrip(F.col(pick)))
     )
     return joined.withColumn("area", value).drop("_label", "_value")
+
+
+def resolve_cuisine(mode, pick, custom) -> "Column":
+    """The typed text in custom mode (as typed), else the picked value."""
+    from pyspark.sql import Column  # noqa: F401
+
+    c = lambda x: F.col(x) if isinstance(x, str) else x
+    return F.when(c(mode) == F.lit(CUSTOM_CUISINE_MODE), c(custom)).otherwise(c(pick))

@@ -248,7 +248,11 @@ def _area_picks(spark, sf):
 
 
 def q_resolve_area(spark, sf):
-    return vocab.resolve_area(_area_picks(spark, sf)).select("request_id", "area")
+    picks = _area_picks(spark, sf).join(requests(spark, sf).select("request_id", "cuisine"), "request_id")
+    mode = F.when(F.col("request_id") % 2 == 0, F.lit(vocab.CUSTOM_CUISINE_MODE)).otherwise(F.lit(vocab.PICK_CUISINE_MODE))
+    return vocab.resolve_area(picks).select(
+        "request_id", "area",
+        vocab.resolve_cuisine(mode, F.lit("North Indian"), F.col("cuisine")).alias("cuisine"))
 
 
 def q_display_rows(spark, sf):

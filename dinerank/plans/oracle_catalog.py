@@ -171,12 +171,13 @@ picks as (
   select request_id,
          case request_id % 3 when 0 then {AREA_LABELS}[cast(floor(request_id / 3) as bigint) % 15 + 1]
                              when 1 then {_lit(vocab.CUSTOM_AREA_OPTION)} else location end as pick,
-         ' ' || coalesce(location, '') || ' ' as custom
+         ' ' || coalesce(location, '') || ' ' as custom, cuisine
   from requests_fx)""") + f"""
 select request_id,
        case when pick = {_lit(vocab.CUSTOM_AREA_OPTION)} then trim(custom)
             when ({AREA_CASE}) is not null then {AREA_CASE}
-            else trim(pick) end as area
+            else trim(pick) end as area,
+       case when request_id % 2 = 0 then cuisine else 'North Indian' end as cuisine
 from picks"""
 
     q["filter_location"] = _w(L, R) + (
@@ -274,5 +275,25 @@ select request_id,
        case when total > 0 then total > cc end as was_capped,
        cast(least(top_k, cc) as bigint) as n_recommendations
 from x"""
+    q["score_prompts"] = _w(L, R, C) + (
+        "select request_id, '{\"summary\": null, \"recommendations\": [' || "
+        "string_agg('{\"restaurant_id\": \"' || id || '\", \"rank\": ' || cast(pos as varchar) || "
+        "', \"explanation\": \"\"}', ', ' order by pos) || ']}' as raw, "
+        "cast(null as varchar) as error, cast(1 as bigint) as attempts from cands group by request_id")
+    title_loc = TITLE.format(x="replace(c.location, ', ', ' · ')")
+    title_tag = TITLE.format(x="t")
+    q["display_rows"] = _w(L, R, C, FALLBACK_RECS) + f"""
+select fb.request_id, fb.rank, fb.listing_id, c.name,
+       {title_loc} as location_label,
+       format('{{:.1f}}', c.rating) as rating_label,
+       case when len(c.cuisines) = 0 then 'N/A'
+            else array_to_string(list_transform(c.cuisines, lambda t: {title_tag}), ', ') end as cuisines_label,
+       case when c.estimated_cost is null then 'N/A'
+            else '₹' || format('{{:,.0f}}', c.estimated_cost) || ' for two' end as cost_label,
+       coalesce(c.budget_band, 'unknown') as budget_label,
+       case c.budget_band when 'low' then 'Low budget' when 'medium' then 'Medium budget'
+            when 'high' then 'High budget' else 'Unknown budget' end as budget_chip,
+       fb.explanation
+from fb join cands c on c.request_id = fb.request_id and c.id = fb.listing_id"""
     q["reply_content"] = _w(L, R, C, RI) + "select request_id, raw as content from replies"
     return q
