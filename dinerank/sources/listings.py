@@ -88,6 +88,13 @@ def scan_listings(spark: SparkSession, base: str, check_empty: bool = True) -> D
     return df
 
 
+def reload_listings(spark: SparkSession, base: str) -> DataFrame:
+    """Re-read the published table after a new version was swapped in
+    (drops cached file listings of the old version first)."""
+    spark.catalog.refreshByPath(current_version(spark, base))
+    return scan_listings(spark, base)
+
+
 def sanitize_nan(df: DataFrame) -> DataFrame:
     """Floating NaN -> NULL in every top-level and struct-nested double field."""
     def fix(col, dtype):
