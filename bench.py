@@ -6,8 +6,9 @@ Steps (each timed as one Spark action; ``noop`` sink so output cost is out):
 ingest (raw -> canonical -> published Parquet), then over the published
 table: select_candidates (headline: batch match + dedup + cap + stats),
 batch_match, recommend (fallback), recommend with replies, vocabularies,
-dedup_by_name. The headline value is select_candidates seconds; the
-reference's only figure is < 100 ms per request over ~51.7k listings.
+dedup_by_name. The headline value is select_candidates seconds (best of
+two warm runs, both reported); the reference's only figure is < 100 ms per
+request over ~51.7k listings.
 """
 
 from __future__ import annotations
@@ -80,7 +81,10 @@ def jobs(listings, requests, replies) -> dict[str, float]:
         run(vocab.distinct_areas(listings))
         run(vocab.distinct_cuisines(listings))
 
-    timed("select_candidates", candidates_job, q)
+    # Headline: best of two runs (both reported).
+    timed("select_candidates_run1", candidates_job, q)
+    timed("select_candidates_run2", candidates_job, q)
+    q["select_candidates"] = min(q["select_candidates_run1"], q["select_candidates_run2"])
     timed("batch_match", lambda: run(match.batch_match(listings, requests)), q)
     timed("recommend_fallback", fallback_job, q)
     timed("recommend_replies", replies_job, q)
