@@ -7,7 +7,7 @@ ingest (raw -> canonical -> published Parquet), then over the published
 table: select_candidates (headline: batch match + dedup + cap + stats),
 batch_match, recommend (fallback), recommend with replies, vocabularies,
 dedup_by_name. The headline value is select_candidates seconds (best of
-two warm runs, both reported); the reference's only figure is < 100 ms per
+three runs, all reported); the reference's only figure is < 100 ms per
 request over ~51.7k listings.
 """
 
@@ -81,10 +81,11 @@ def jobs(listings, requests, replies) -> dict[str, float]:
         run(vocab.distinct_areas(listings))
         run(vocab.distinct_cuisines(listings))
 
-    # Headline: best of two runs (both reported).
-    timed("select_candidates_run1", candidates_job, q)
-    timed("select_candidates_run2", candidates_job, q)
-    q["select_candidates"] = min(q["select_candidates_run1"], q["select_candidates_run2"])
+    # Headline: best of three runs (all reported); the first runs at a new
+    # scale still pay JIT and code generation.
+    for i in (1, 2, 3):
+        timed(f"select_candidates_run{i}", candidates_job, q)
+    q["select_candidates"] = min(q[f"select_candidates_run{i}"] for i in (1, 2, 3))
     timed("batch_match", lambda: run(match.batch_match(listings, requests)), q)
     timed("recommend_fallback", fallback_job, q)
     timed("recommend_replies", replies_job, q)

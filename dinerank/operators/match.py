@@ -145,13 +145,22 @@ def cuisine_match(cui_q: Column) -> Column:
     return (cui_q == F.lit("")) | F.exists(F.col("cuisines"), lambda c: F.contains(c, cui_q))
 
 
-def match_keys(listings: DataFrame, keys: DataFrame) -> DataFrame:
+def match_keys(listings: DataFrame, keys: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Listings matching each criteria key (location, budget, cuisine; no
-    rating). ``keys`` has columns ``loc_q, budget, cui_q``."""
+    rating). ``keys`` has columns ``loc_q, budget, cui_q``.
+
+    The key side (criteria keys x resolved locations) is written once and
+    counted; within ``params.broadcast_max_rows`` it is broadcast, so the
+    listing table streams through a hash join without being shuffled.
+    Beyond the bound both sides are shuffled on ``(location, budget_band)``
+    (AQE splits skewed partitions).
+    """
     lst = listing_columns(listings)
     keys = keys.select(*KEY).distinct()
     loc_pairs = substring_pairs(keys, "loc_q", lst, "location")
-    expanded = keys.join(loc_pairs, "loc_q").withColumnRenamed("location", "_loc")
+    expanded = cut_lineage(keys.join(loc_pairs, "loc_q").withColumnRenamed("location", "_loc"))
+    if expanded.count() <= params.broadcast_max_rows:
+        expanded = F.broadcast(expanded)
     joined = lst.join(
         expanded,
         (lst.location == expanded._loc) & (lst.budget_band == expanded.budget),
@@ -200,7 +209,7 @@ def select_candidates(listings: DataFrame, requests: DataFrame,
     """
     req = valid_requests(requests, params)
     keys = req.select(*KEY).distinct()
-    matches = match_keys(listings, keys).select(*KEY, "id", "name", "location", "cuisines", "rating",
+    matches = match_keys(listings, keys, params).select(*KEY, "id", "name", "location", "cuisines", "rating",
                                                 "estimated_cost", "budget_band", "votes")
     if materialize:
         matches = cut_lineage(matches)
@@ -257,7 +266,7 @@ def batch_match(listings: DataFrame, requests: DataFrame, params: Params = DEFAU
     """Every ``(request_id, listing id)`` pair passing all four hard filters
     (before dedup and cap)."""
     req = valid_requests(requests, params)
-    matches = match_keys(listings, req.select(*KEY))
+    matches = match_keys(listings, req.select(*KEY), params)
     return (
         req.select("request_id", *KEY, "min_rating")
         .join(matches.select(*KEY, "id", "rating"), KEY)

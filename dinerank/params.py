@@ -23,6 +23,10 @@ class Params:
     default_top_k: int = 5
     # Upper bound of top_k; also lets Spark apply a per-group limit.
     max_top_k: int = 20
+    # The resolved (criteria key, location) side of the listing join is
+    # broadcast only when its measured row count is at most this; beyond it
+    # the join shuffles both sides. ~100 bytes a row: 1M rows ~ 100 MB.
+    broadcast_max_rows: int = 1_000_000
 
     def __post_init__(self) -> None:
         if not self.budget_low_max > 0 or not self.budget_medium_max > 0:
@@ -37,6 +41,8 @@ class Params:
             raise ValueError("scorer_max_retries must be within 0..3")
         if not self.scorer_timeout_seconds > 0:
             raise ValueError("scorer_timeout_seconds must be positive")
+        if self.broadcast_max_rows < 0:
+            raise ValueError("broadcast_max_rows must be >= 0")
         if not 1 <= self.default_top_k <= self.max_top_k:
             raise ValueError("default_top_k must be within 1..max_top_k")
 

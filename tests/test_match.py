@@ -181,3 +181,17 @@ def test_dedup_agg_equals_window(spark):
     a = match.dedup_by_name(lst).select("id")
     b = match.dedup_by_name_agg(lst).select("id")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_broadcast_bound_does_not_change_results(spark):
+    from dinerank.operators.ingest import ingest
+    from dinerank.sources import fixtures as fx
+
+    sf = "/root/testdata/sf0.001"
+    lst = ingest(fx.raw_listings(spark, sf)).cache()
+    req = fx.requests(spark, sf)
+    a, _ = match.select_candidates(lst, req)                                   # key side broadcast
+    b, _ = match.select_candidates(lst, req, Params(broadcast_max_rows=0))     # both sides shuffled
+    cols = ["request_id", "pos", "id"]
+    assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
+    assert b.select(*cols).exceptAll(a.select(*cols)).count() == 0
