@@ -7,7 +7,7 @@ passes through the driver.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dinerank.functions.text import title_case, ustrip
@@ -120,9 +120,8 @@ def resolve_area(picks: DataFrame, pick: str = "pick", custom: str = "custom") -
     return joined.withColumn("area", value).drop("_label", "_value")
 
 
-def resolve_cuisine(mode, pick, custom) -> "Column":
+def resolve_cuisine(mode, pick, custom) -> Column:
     """The typed text in custom mode (as typed), else the picked value."""
-    from pyspark.sql import Column  # noqa: F401
-
-    c = lambda x: F.col(x) if isinstance(x, str) else x
+    def c(x):
+        return F.col(x) if isinstance(x, str) else x
     return F.when(c(mode) == F.lit(CUSTOM_CUISINE_MODE), c(custom)).otherwise(c(pick))

@@ -108,3 +108,23 @@ def test_vocab_scan_prunes_columns(spark, tmp_path):
     plan = match.count_budget_matches(lst, make_requests(spark, [
         {"location": "x", "budget": "low", "cuisine": "y", "min_rating": 0.0}]))._jdf.queryExecution().sparkPlan().toString()
     assert "ReadSchema: struct<budget_band:string>" in plan
+
+
+@pytest.mark.parametrize("fmt", ["json", "csv", "parquet"])
+def test_scan_raw_formats(spark, fmt):
+    root = tempfile.mkdtemp()
+    df = raw_df(spark, [raw_row(i, name=f"N{i}") for i in range(4)])
+    writer = df.write.mode("overwrite")
+    if fmt == "csv":
+        writer = writer.option("header", "true")
+    writer.format(fmt).save(f"{root}/train")
+    back = io.scan_raw(spark, root, fmt, split="train")
+    assert ingest(back).count() == 4
+
+
+def test_reload_after_new_version(spark, scenario_listings):
+    base = os.path.join(tempfile.mkdtemp(), "listings")
+    io.publish(scenario_listings, base)
+    assert io.scan_listings(spark, base).count() == 10
+    io.publish(scenario_listings.limit(4), base)
+    assert io.reload_listings(spark, base).count() == 4
