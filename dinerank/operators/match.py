@@ -145,6 +145,14 @@ def cuisine_match(cui_q: Column) -> Column:
     return (cui_q == F.lit("")) | F.exists(F.col("cuisines"), lambda c: F.contains(c, cui_q))
 
 
+def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
+    """Write ``df`` once (shared checkpoint folder), count it, and mark it for
+    broadcast only when the measured count is within ``max_rows``; otherwise
+    return the written table for a shuffle join."""
+    written = cut_lineage(df)
+    return F.broadcast(written) if written.count() <= max_rows else written
+
+
 def match_keys(listings: DataFrame, keys: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Listings matching each criteria key (location, budget, cuisine; no
     rating). ``keys`` has columns ``loc_q, budget, cui_q``.
@@ -158,9 +166,8 @@ def match_keys(listings: DataFrame, keys: DataFrame, params: Params = DEFAULT) -
     lst = listing_columns(listings)
     keys = keys.select(*KEY).distinct()
     loc_pairs = substring_pairs(keys, "loc_q", lst, "location")
-    expanded = cut_lineage(keys.join(loc_pairs, "loc_q").withColumnRenamed("location", "_loc"))
-    if expanded.count() <= params.broadcast_max_rows:
-        expanded = F.broadcast(expanded)
+    expanded = broadcast_if_small(
+        keys.join(loc_pairs, "loc_q").withColumnRenamed("location", "_loc"), params.broadcast_max_rows)
     joined = lst.join(
         expanded,
         (lst.location == expanded._loc) & (lst.budget_band == expanded.budget),
@@ -217,7 +224,9 @@ def select_candidates(listings: DataFrame, requests: DataFrame,
     # Per key: capped candidates (no rating filter) and a rating histogram.
     cands_k = key_candidates(matches, params)
     if materialize:
-        cands_k = cut_lineage(cands_k)  # at most max_candidates rows per key
+        # At most max_candidates rows per key; broadcast to the request side
+        # when the measured size allows.
+        cands_k = broadcast_if_small(cands_k, params.broadcast_max_rows)
     hist = matches.groupBy(*KEY, "rating").agg(F.count(F.lit(1)).alias("_n"))
 
     # Per (key, min_rating): matches and candidates passing the threshold.
@@ -297,7 +306,7 @@ def count_cuisine_matches(listings: DataFrame, requests: DataFrame, params: Para
     """Per valid request: listings with a tag containing the query."""
     req = valid_requests(requests, params)
     tags = listings.select("id", F.explode("cuisines").alias("tag"))
-    pairs = substring_pairs(req, "cui_q", tags, "tag")
+    pairs = broadcast_if_small(substring_pairs(req, "cui_q", tags, "tag"), params.broadcast_max_rows)
     per_q = (
         pairs.join(tags, "tag").select("cui_q", "id").distinct()
         .groupBy("cui_q").agg(F.count(F.lit(1)).alias("_n"))
