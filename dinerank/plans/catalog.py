@@ -356,13 +356,14 @@ def q_dedup_by_name(spark, sf):
 
 
 def q_dedup_recommendations(spark, sf):
-    pairs = match.batch_match(listings(spark, sf), requests(spark, sf))
-    lst = match.listing_columns(listings(spark, sf))
-    from pyspark.sql import Window
-    ranked = pairs.join(lst.withColumnRenamed("id", "listing_id"), "listing_id").withColumnRenamed("listing_id", "id")
-    w = Window.partitionBy("request_id").orderBy(*match.quality_order())
-    ranked = ranked.withColumn("rank", F.row_number().over(w))
-    return merge.dedup_recommendations(ranked).select("request_id", "rank", F.col("id").alias("listing_id"))
+    """Recommendation rows with name collisions: each capped candidate plus
+    an upper-cased copy ranked 30 places lower (groups stay bounded by
+    2 x max_candidates). Dedup keeps the better-ranked row per name."""
+    c = candidates(spark, sf)
+    orig = c.select("request_id", F.col("pos").cast("bigint").alias("rank"), F.col("id").alias("listing_id"), "name")
+    dup = c.select("request_id", (F.col("pos") + 30).cast("bigint").alias("rank"),
+                   F.concat(F.col("id"), F.lit("#dup")).alias("listing_id"), F.upper(F.col("name")).alias("name"))
+    return merge.dedup_recommendations(orig.unionByName(dup)).select("request_id", "rank", "listing_id")
 
 
 def q_dedup_reply_ids(spark, sf):

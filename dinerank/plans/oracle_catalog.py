@@ -233,11 +233,14 @@ select cast(block as bigint) as block, cast(pos as bigint) as pos, label from (
         f"order by {O.QUALITY}) as rn from listings where trim(name) <> '') where rn = 1")
     q["dedup_agg"] = _w(L) + dedup_all
     q["dedup_by_name"] = _w(L) + dedup_all
-    q["dedup_recommendations"] = _w(L, R, C, f"""
-ranked as (select *, row_number() over (partition by request_id order by {O.QUALITY}) as rank from matches)""") + """
-select request_id, cast(rank as bigint) as rank, id as listing_id from (
+    q["dedup_recommendations"] = _w(L, R, C, """
+recs_in as (
+  select request_id, cast(pos as bigint) as rank, id as listing_id, name from cands
+  union all
+  select request_id, cast(pos + 30 as bigint), id || '#dup', upper(name) from cands)""") + """
+select request_id, rank, listing_id from (
   select *, row_number() over (partition by request_id, lower(trim(name)) order by rank) as rn
-  from ranked where trim(name) <> '') where rn = 1"""
+  from recs_in where trim(name) <> '') where rn = 1"""
     q["quality_sort"] = _w(L) + "select id, name, rating, votes from listings"
     q["top_candidates"] = _w(L) + (
         f"select cast(row_number() over (order by {O.QUALITY}) as bigint) as pos, id from ({dedup_all}) "
