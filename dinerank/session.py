@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -67,33 +68,27 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/dinerank-tables/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.parquet(path)
 
 
-_SHIPPED: set = set()
-
-
-def ship_package(spark: SparkSession) -> None:
-    """Make ``dinerank`` importable on the executors' Python workers.
-
-    Equivalent to ``spark-submit --py-files``: zips the package once per
-    SparkContext and adds it with ``addPyFile`` (served by the driver). Only
-    the Python worker steps (the scorer) need it.
-    """
-    import zipfile
-
-    sc = spark.sparkContext
-    key = sc.applicationId
-    if key in _SHIPPED:
-        return
-    pkg_dir = os.path.dirname(os.path.abspath(__file__))
-    root = os.path.dirname(pkg_dir)
-    out = os.path.join(tempfile.mkdtemp(prefix="dinerank-pyfiles-"), "dinerank.zip")
-    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
-        for folder, _, files in os.walk(pkg_dir):
-            for name in files:
-                if name.endswith(".py"):
-                    full = os.path.join(folder, name)
-                    zf.write(full, os.path.relpath(full, root))
-    sc.addPyFile(out)
-    _SHIPPED.add(key)
+_SCRATCH: dict[str, list[str]] = {}
+
+
+@contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete, on exit, the tables ``cut_lineage`` wrote inside the block
+    (tables written before the block, e.g. memoised inputs, are kept). Use
+    around a job once its outputs are written inside the block."""
+    app = spark.sparkContext.applicationId
+    start = len(_SCRATCH.setdefault(app, []))
+    try:
+        yield
+    finally:
+        paths = _SCRATCH[app][start:]
+        del _SCRATCH[app][start:]
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)

@@ -21,6 +21,14 @@ def test_ingest_and_recommend_cli(spark):
     recs = spark.read.parquet(f"{root}/out/recommendations").orderBy("rank").collect()
     assert [r["rank"] for r in recs] == [1, 2] and recs[0]["rating"] == 5.0
     assert spark.read.parquet(f"{root}/out/responses").first()["status"] == "fallback"
+    # the job removed the intermediate tables it wrote, and only those
+    from dinerank.session import _SCRATCH, cut_lineage
+    before = list(_SCRATCH.get(spark.sparkContext.applicationId, []))
+    kept = cut_lineage(spark.range(3))
+    assert main(["recommend", "--listings", f"{root}/listings", "--requests", f"{root}/requests",
+                 "--output", f"{root}/out2"]) == 0
+    assert _SCRATCH[spark.sparkContext.applicationId] == before + [_SCRATCH[spark.sparkContext.applicationId][-1]]
+    assert kept.count() == 3
     # a failing job reports exit code 1 instead of raising
     assert main(["ingest", "--raw", f"{root}/missing", "--output", f"{root}/x"]) == 1
 
