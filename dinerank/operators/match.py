@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from dinerank.functions.text import clean_string, lower_strip, ustrip
 from dinerank.params import DEFAULT, Params
 from dinerank.schemas import BUDGET_LEVELS
-from dinerank.session import cut_lineage
+from dinerank.session import cut_lineage, cut_lineage_counted
 
 KEY = ["loc_q", "budget", "cui_q"]
 
@@ -149,8 +149,8 @@ def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
     """Write ``df`` once (shared checkpoint folder), count it, and mark it for
     broadcast only when the measured count is within ``max_rows``; otherwise
     return the written table for a shuffle join."""
-    written = cut_lineage(df)
-    return F.broadcast(written) if written.count() <= max_rows else written
+    written, rows = cut_lineage_counted(df)
+    return F.broadcast(written) if rows <= max_rows else written
 
 
 def match_keys(listings: DataFrame, keys: DataFrame, params: Params = DEFAULT) -> DataFrame:
