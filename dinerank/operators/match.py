@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from dinerank.functions.text import clean_string, lower_strip, ustrip
 from dinerank.params import DEFAULT, Params
 from dinerank.schemas import BUDGET_LEVELS
-from dinerank.session import cut_lineage, cut_lineage_counted
+from dinerank.session import cut_lineage, cut_lineage_sized
 
 KEY = ["loc_q", "budget", "cui_q"]
 
@@ -145,12 +145,12 @@ def cuisine_match(cui_q: Column) -> Column:
     return (cui_q == F.lit("")) | F.exists(F.col("cuisines"), lambda c: F.contains(c, cui_q))
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Write ``df`` once (shared checkpoint folder), count it, and mark it for
-    broadcast only when the measured count is within ``max_rows``; otherwise
+def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
+    """Write ``df`` once (shared checkpoint folder), measure the written size,
+    and mark it for broadcast only when it is within ``max_bytes``; otherwise
     return the written table for a shuffle join."""
-    written, rows = cut_lineage_counted(df)
-    return F.broadcast(written) if rows <= max_rows else written
+    written, size = cut_lineage_sized(df)
+    return F.broadcast(written) if size <= max_bytes else written
 
 
 def match_keys(listings: DataFrame, keys: DataFrame, params: Params = DEFAULT) -> DataFrame:
@@ -158,7 +158,7 @@ def match_keys(listings: DataFrame, keys: DataFrame, params: Params = DEFAULT) -
     rating). ``keys`` has columns ``loc_q, budget, cui_q``.
 
     The key side (criteria keys x resolved locations) is written once and
-    counted; within ``params.broadcast_max_rows`` it is broadcast, so the
+    measured; within ``params.broadcast_max_bytes`` it is broadcast, so the
     listing table streams through a hash join without being shuffled.
     Beyond the bound both sides are shuffled on ``(location, budget_band)``
     (AQE splits skewed partitions).
@@ -167,7 +167,7 @@ def match_keys(listings: DataFrame, keys: DataFrame, params: Params = DEFAULT) -
     keys = keys.select(*KEY).distinct()
     loc_pairs = substring_pairs(keys, "loc_q", lst, "location")
     expanded = broadcast_if_small(
-        keys.join(loc_pairs, "loc_q").withColumnRenamed("location", "_loc"), params.broadcast_max_rows)
+        keys.join(loc_pairs, "loc_q").withColumnRenamed("location", "_loc"), params.broadcast_max_bytes)
     joined = lst.join(
         expanded,
         (lst.location == expanded._loc) & (lst.budget_band == expanded.budget),
@@ -226,7 +226,7 @@ def select_candidates(listings: DataFrame, requests: DataFrame,
     if materialize:
         # At most max_candidates rows per key; broadcast to the request side
         # when the measured size allows.
-        cands_k = broadcast_if_small(cands_k, params.broadcast_max_rows)
+        cands_k = broadcast_if_small(cands_k, params.broadcast_max_bytes)
     hist = matches.groupBy(*KEY, "rating").agg(F.count(F.lit(1)).alias("_n"))
 
     # Per (key, min_rating): matches and candidates passing the threshold.
@@ -306,7 +306,7 @@ def count_cuisine_matches(listings: DataFrame, requests: DataFrame, params: Para
     """Per valid request: listings with a tag containing the query."""
     req = valid_requests(requests, params)
     tags = listings.select("id", F.explode("cuisines").alias("tag"))
-    pairs = broadcast_if_small(substring_pairs(req, "cui_q", tags, "tag"), params.broadcast_max_rows)
+    pairs = broadcast_if_small(substring_pairs(req, "cui_q", tags, "tag"), params.broadcast_max_bytes)
     per_q = (
         pairs.join(tags, "tag").select("cui_q", "id").distinct()
         .groupBy("cui_q").agg(F.count(F.lit(1)).alias("_n"))

@@ -64,31 +64,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     Cheaper than ``DataFrame.checkpoint(eager=True)``, which evaluates the
     plan once to count and again to write.
     """
-    return _write_scratch(df, observe_rows=False)[0]
+    return cut_lineage_sized(df)[0]
 
 
-def cut_lineage_counted(df: DataFrame) -> tuple[DataFrame, int]:
-    """:func:`cut_lineage` plus the row count, observed during the same write
-    (no second job)."""
-    return _write_scratch(df, observe_rows=True)
-
-
-def _write_scratch(df: DataFrame, observe_rows: bool) -> tuple[DataFrame, int | None]:
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
-
+def cut_lineage_sized(df: DataFrame) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` plus the written size in bytes (file-system
+    metadata, no extra job)."""
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark).rstrip("/")
     path = f"{base}/dinerank-tables/{uuid.uuid4().hex}"
-    rows = None
-    if observe_rows:
-        obs = Observation("rows")
-        df.observe(obs, F.count(F.lit(1)).alias("n")).write.parquet(path)
-        rows = int(obs.get["n"])
-    else:
-        df.write.parquet(path)
+    df.write.parquet(path)
     _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return spark.read.parquet(path), rows
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    size = int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
+    return spark.read.parquet(path), size
 
 
 _SCRATCH: dict[str, list[str]] = {}

@@ -191,7 +191,7 @@ def test_broadcast_bound_does_not_change_results(spark):
     lst = ingest(fx.raw_listings(spark, sf)).cache()
     req = fx.requests(spark, sf)
     a, _ = match.select_candidates(lst, req)                                   # key side broadcast
-    b, _ = match.select_candidates(lst, req, Params(broadcast_max_rows=0))     # both sides shuffled
+    b, _ = match.select_candidates(lst, req, Params(broadcast_max_bytes=0))     # both sides shuffled
     cols = ["request_id", "pos", "id"]
     assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
     assert b.select(*cols).exceptAll(a.select(*cols)).count() == 0
