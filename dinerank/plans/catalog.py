@@ -22,7 +22,6 @@ from dinerank.functions.parse import (
 from dinerank.functions.text import clean_string, ustrip
 from dinerank.operators import display, ingest as ing, match, merge, prompts as pr, replies as rp, score, vocab
 from dinerank.params import DEFAULT
-from dinerank.plans import oracle as O
 from dinerank.plans.recommend import recommend
 from dinerank.schemas import COST_COLUMN
 from dinerank.session import cut_lineage, ensure_checkpoint_dir
