@@ -201,10 +201,11 @@ def test_dedup_is_idempotent_and_cap_is_subset(spark):
     from dinerank.operators.ingest import ingest
     from dinerank.sources import fixtures as fx
 
-    lst = match.listing_columns(ingest(fx.raw_listings(spark, "/root/testdata/sf0.001")))
+    canonical = ingest(fx.raw_listings(spark, "/root/testdata/sf0.001"))
+    lst = match.listing_columns(canonical)
     once = match.dedup_by_name(lst)
     twice = match.dedup_by_name(once)
     assert once.exceptAll(twice).count() == 0 and twice.exceptAll(once).count() == 0
-    top = match.top_listings(lst, 5)
+    top = match.top_listings(canonical, 5)
     assert top.select("id").subtract(once.select("id")).count() == 0
     assert [r["pos"] for r in top.orderBy("pos").collect()] == [1, 2, 3, 4, 5]
