@@ -26,7 +26,7 @@ from pyspark.sql import functions as F  # noqa: E402
 from dinerank.operators import match, vocab  # noqa: E402
 from dinerank.operators.ingest import ingest  # noqa: E402
 from dinerank.plans.recommend import recommend  # noqa: E402
-from dinerank.session import get_spark  # noqa: E402
+from dinerank.session import Scratch, get_spark  # noqa: E402
 from dinerank.sources import fixtures as fx  # noqa: E402
 from dinerank.sources.listings import publish, scan_listings  # noqa: E402
 
@@ -62,17 +62,17 @@ def jobs(listings, requests, replies) -> dict[str, float]:
     q: dict[str, float] = {}
 
     def candidates_job():
-        cands, stats = match.select_candidates(listings, requests, materialize=True)
+        cands, stats = match.select_candidates(listings, requests, scratch=Scratch(listings.sparkSession))
         run(cands)
         run(stats)
 
     def fallback_job():
-        recs, resp = recommend(listings, requests, materialize=True)
+        recs, resp = recommend(listings, requests, scratch=Scratch(listings.sparkSession))
         run(recs)
         run(resp)
 
     def replies_job():
-        recs, resp = recommend(listings, requests, replies, materialize=True)
+        recs, resp = recommend(listings, requests, replies, scratch=Scratch(listings.sparkSession))
         run(recs)
         run(resp)
 

@@ -4,17 +4,21 @@ The reference answers one request by scanning every listing. Here a whole
 table of requests is answered in one job:
 
 1. **Coalesce requests** to distinct criteria keys ``(loc_q, budget, cui_q)``.
-2. **Resolve the location substring** against the distinct listing locations
-   with an exact gram equi-join (``substring_pairs``): no nested-loop join,
-   no broadcast of anything whose size is unknown.
-3. **Join listings on equality** ``(location, budget_band)``; the cuisine
-   any-tag test is a residual predicate on the joined rows.
-4. **Dedup by name and cap per key** with two ranking windows; Spark turns
-   ``row_number() <= n`` into a partial + final ``WindowGroupLimit``, so a hot
-   key is trimmed before its shuffle.
+2. **Reduce listings to profiles** ``(location, budget_band, cuisines)``: one
+   aggregation keeps, per profile, name and rating, the row count and the best
+   row. A predicate looks at the profile only, so all later joins are
+   between keys and profiles, never between keys and listings.
+3. **Resolve the location substring** against the distinct profile locations
+   with an exact gram equi-join (``substring_pairs``) and join keys to profiles
+   on equality ``(location, budget_band)``; the any-tag test is a residual.
+4. **Cap per profile, then per key**: a name among a key's best ``n`` is among
+   its profile's best ``n``, so profiles are trimmed before they meet the keys.
 5. **Apply ``min_rating`` after the cap**: the quality order starts with
    rating, so filtering the capped prefix equals capping the filtered set.
-   ``total_before_cap`` comes from a per-key rating histogram instead.
+   ``total_before_cap`` comes from the profiles' rating histograms.
+
+Plans stay lazy and carry no broadcast hints: the planner decides from its
+own size estimates. Intermediates are written only into a caller's ``Scratch``.
 """
 
 from __future__ import annotations
@@ -25,11 +29,11 @@ from pyspark.sql import functions as F
 from dinerank.functions.text import clean_string, lower_strip, ustrip
 from dinerank.params import DEFAULT, Params
 from dinerank.schemas import BUDGET_LEVELS
-from dinerank.session import cut_lineage, cut_lineage_sized
+from dinerank.session import Scratch
 
 KEY = ["loc_q", "budget", "cui_q"]
 
-# Messages for rejected requests, in checking order.
+# Messages for rejected requests, in checking order.
 REJECT_LOCATION = "location: must not be empty"
 REJECT_BUDGET = "budget: must be one of low, medium, high"
 REJECT_CUISINE = "cuisine: must not be empty"
@@ -92,27 +96,38 @@ def applied_filters(requests: DataFrame) -> Column:
 # ------------------------------------------------------------- substring join
 
 def _grams(text: Column, n: int) -> Column:
-    """Every substring of length 1..n of ``text`` (shorter at the end), plus ''."""
-    starts = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1)))
-    subs = F.flatten(F.transform(starts, lambda i: F.array(*[F.substring(text, i, k) for k in range(1, n + 1)])))
-    return F.array_distinct(F.concat(F.array(F.lit("")), F.filter(subs, lambda s: s != F.lit(""))))
+    """Distinct substrings of length ``n``; the whole text when it is shorter."""
+    starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
 
 
 def substring_pairs(queries: DataFrame, q: str, texts: DataFrame, t: str, gram: int = 3) -> DataFrame:
     """All ``(q, t)`` with ``t`` containing ``q`` (literal, case-sensitive).
 
-    A query is keyed by its first ``gram`` characters (all of it when shorter,
-    '' for the empty query); a text emits every gram it contains. The join is
-    an equi-join on the gram followed by the exact ``contains`` test, so it
-    partitions like any hash join and never pairs every query with every text.
-    Inputs are reduced to distinct values first.
+    A query of at least ``gram`` characters is keyed by the one of its grams
+    that the fewest texts contain, so a prefix or word common to many
+    queries does not bring them together; a query with a gram that no text
+    has is dropped. A shorter query is keyed by itself against the
+    substrings of its length, the empty query by ''. The equi-join on the key
+    is followed by the exact ``contains`` test. Inputs are reduced to distinct
+    values first.
     """
     qd = queries.select(F.col(q).alias("_q")).where(F.col("_q").isNotNull()).distinct()
-    qd = qd.withColumn("_g", F.substring(F.col("_q"), 1, gram))
     td = texts.select(F.col(t).alias("_t")).where(F.col("_t").isNotNull()).distinct()
-    tg = td.select("_t", F.explode(_grams(F.col("_t"), gram)).alias("_g"))
+    lengths = F.array_union(F.array(F.lit(0)), F.sequence(F.lit(1), F.lit(gram)))
+    short = F.flatten(F.transform(lengths, lambda k: F.when(k == 0, F.array(F.lit(""))).otherwise(
+        F.array_distinct(F.transform(
+            F.sequence(F.lit(1), F.greatest(F.length("_t") - k + 1, F.lit(1))), lambda i: F.substring(F.col("_t"), i, k))))))
+    keyed = td.select("_t", F.explode(F.array_distinct(short)).alias("_g"))
+    used = keyed.groupBy("_g").agg(F.count(F.lit(1)).alias("_df"))
+    own = qd.select("_q", F.explode(F.when(F.length("_q") == 0, F.array(F.lit(""))).otherwise(_grams(F.col("_q"), gram))).alias("_g"))
+    rarest = (
+        own.join(used, "_g", "left").groupBy("_q")
+        .agg(F.min(F.struct(F.coalesce("_df", F.lit(0)).alias("df"), F.col("_g").alias("g"))).alias("_r"))
+        .where(F.col("_r.df") > 0).select("_q", F.col("_r.g").alias("_g"))
+    )
     return (
-        qd.join(tg, "_g")
+        rarest.join(keyed, "_g")
         .where(F.contains(F.col("_t"), F.col("_q")))
         .select(F.col("_q").alias(q), F.col("_t").alias(t))
     )
@@ -145,34 +160,31 @@ def cuisine_match(cui_q: Column) -> Column:
     return (cui_q == F.lit("")) | F.exists(F.col("cuisines"), lambda c: F.contains(c, cui_q))
 
 
-def broadcast_if_small(df: DataFrame, max_bytes: int) -> DataFrame:
-    """Write ``df`` once (shared checkpoint folder), measure the written size,
-    and mark it for broadcast only when it is within ``max_bytes``; otherwise
-    return the written table for a shuffle join."""
-    written, size = cut_lineage_sized(df)
-    return F.broadcast(written) if size <= max_bytes else written
-
+PROFILE = ["location", "budget_band", "cuisines"]
 
-def match_keys(listings: DataFrame, keys: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Listings matching each criteria key (location, budget, cuisine; no
-    rating). ``keys`` has columns ``loc_q, budget, cui_q``.
 
-    The key side (criteria keys x resolved locations) is written once and
-    measured; within ``params.broadcast_max_bytes`` it is broadcast, so the
-    listing table streams through a hash join without being shuffled.
-    Beyond the bound both sides are shuffled on ``(location, budget_band)``
-    (AQE splits skewed partitions).
-    """
+def listing_profiles(listings: DataFrame) -> DataFrame:
+    """Listings summed per profile, name and rating: ``_n`` rows and the best
+    of them in quality order. Combines partially before its shuffle."""
     lst = listing_columns(listings)
+    best = F.min_by(
+        F.struct("id", "name", "estimated_cost", "votes"),
+        F.struct((-F.coalesce(F.col("votes"), F.lit(0))).alias("v"), F.lower("name").alias("n"), F.col("id").alias("i")))
+    return (
+        lst.groupBy(*PROFILE, lower_strip(F.col("name")).alias("_name"), "rating")
+        .agg(F.count(F.lit(1)).alias("_n"), best.alias("_best"))
+    )
+
+
+def match_profiles(profiles: DataFrame, keys: DataFrame) -> DataFrame:
+    """``(loc_q, budget, cui_q)`` with every profile it matches (no rating)."""
     keys = keys.select(*KEY).distinct()
-    loc_pairs = substring_pairs(keys, "loc_q", lst, "location")
-    expanded = broadcast_if_small(
-        keys.join(loc_pairs, "loc_q").withColumnRenamed("location", "_loc"), params.broadcast_max_bytes)
-    joined = lst.join(
-        expanded,
-        (lst.location == expanded._loc) & (lst.budget_band == expanded.budget),
-    ).drop("_loc")
-    return joined.where(cuisine_match(F.col("cui_q")))
+    distinct = profiles.select(*PROFILE).distinct()
+    located = keys.join(substring_pairs(keys, "loc_q", distinct, "location"), "loc_q")
+    return (
+        located.withColumn("budget_band", F.col("budget")).join(distinct, ["location", "budget_band"])
+        .where(cuisine_match(F.col("cui_q"))).select(*KEY, *PROFILE)
+    )
 
 
 def dedup_by_name(df: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -195,13 +207,14 @@ def cap_by_quality(df: DataFrame, group: list[str], n: int, pos: str = "pos") ->
     return df.withColumn(pos, F.row_number().over(w)).where(F.col(pos) <= n)
 
 
-def key_candidates(matches: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """Deduplicated, quality-ordered, capped candidates per criteria key."""
-    return cap_by_quality(dedup_by_name(matches, KEY), KEY, params.max_candidates)
+def profile_candidates(profiles: DataFrame, params: Params = DEFAULT) -> DataFrame:
+    """The best ``max_candidates`` distinct names of each profile."""
+    rows = profiles.select(*PROFILE, "rating", "_best.*")
+    return cap_by_quality(dedup_by_name(rows, PROFILE), PROFILE, params.max_candidates).drop("pos")
 
 
-def select_candidates(listings: DataFrame, requests: DataFrame,
-                      params: Params = DEFAULT, materialize: bool = False) -> tuple[DataFrame, DataFrame]:
+def select_candidates(listings: DataFrame, requests: DataFrame, params: Params = DEFAULT,
+                      scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """Candidate selection for a table of requests.
 
     Returns ``(candidates, stats)``:
@@ -210,24 +223,20 @@ def select_candidates(listings: DataFrame, requests: DataFrame,
     ``stats(request_id, total_before_cap, candidate_count, is_empty, was_capped)``.
     ``total_before_cap`` counts matches before name dedup.
 
-    Both outputs read the per-key match pairs; with ``materialize`` those
-    pairs are checkpointed once (reliable storage) instead of being joined
-    again for the second output.
+    With ``scratch`` the profile table (the one pass over the listings), the
+    key-profile pairs and the per-key candidates are written there once and
+    shared by both outputs; without it both plans are lazy.
     """
+    keep = scratch.cut if scratch else (lambda df: df)
     req = valid_requests(requests, params)
-    keys = req.select(*KEY).distinct()
-    matches = match_keys(listings, keys, params).select(*KEY, "id", "name", "location", "cuisines", "rating",
-                                                "estimated_cost", "budget_band", "votes")
-    if materialize:
-        matches = cut_lineage(matches)
+    profiles = keep(listing_profiles(listings))
+    matched = keep(match_profiles(profiles, req))
 
     # Per key: capped candidates (no rating filter) and a rating histogram.
-    cands_k = key_candidates(matches, params)
-    if materialize:
-        # At most max_candidates rows per key; broadcast to the request side
-        # when the measured size allows.
-        cands_k = broadcast_if_small(cands_k, params.broadcast_max_bytes)
-    hist = matches.groupBy(*KEY, "rating").agg(F.count(F.lit(1)).alias("_n"))
+    capped = profile_candidates(profiles, params)
+    cands_k = keep(cap_by_quality(dedup_by_name(matched.join(capped, PROFILE), KEY), KEY, params.max_candidates))
+    per_profile = profiles.groupBy(*PROFILE, "rating").agg(F.sum("_n").alias("_n"))
+    hist = matched.join(per_profile, PROFILE).groupBy(*KEY, "rating").agg(F.sum("_n").alias("_n"))
 
     # Per (key, min_rating): matches and candidates passing the threshold.
     thresholds = req.select(*KEY, "min_rating").distinct()
@@ -273,12 +282,13 @@ def select_candidates(listings: DataFrame, requests: DataFrame,
 
 def batch_match(listings: DataFrame, requests: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Every ``(request_id, listing id)`` pair passing all four hard filters
-    (before dedup and cap)."""
+    (before dedup and cap). All pairs are the feature, so no other plan uses it."""
     req = valid_requests(requests, params)
-    matches = match_keys(listings, req.select(*KEY), params)
+    lst = listings.select(*PROFILE, "id", "rating")
+    matched = match_profiles(lst, req)
     return (
         req.select("request_id", *KEY, "min_rating")
-        .join(matches.select(*KEY, "id", "rating"), KEY)
+        .join(matched, KEY).join(lst, PROFILE)
         .where(F.col("rating") >= F.col("min_rating"))
         .select("request_id", F.col("id").alias("listing_id"))
     )
@@ -305,11 +315,12 @@ def count_budget_matches(listings: DataFrame, requests: DataFrame, params: Param
 def count_cuisine_matches(listings: DataFrame, requests: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Per valid request: listings with a tag containing the query."""
     req = valid_requests(requests, params)
-    tags = listings.select("id", F.explode("cuisines").alias("tag"))
-    pairs = broadcast_if_small(substring_pairs(req, "cui_q", tags, "tag"), params.broadcast_max_bytes)
+    arrays = listings.groupBy("cuisines").agg(F.count(F.lit(1)).alias("_n"))
+    tags = arrays.select("cuisines", F.explode(F.array_distinct("cuisines")).alias("tag"))
+    pairs = substring_pairs(req, "cui_q", tags, "tag")
     per_q = (
-        pairs.join(tags, "tag").select("cui_q", "id").distinct()
-        .groupBy("cui_q").agg(F.count(F.lit(1)).alias("_n"))
+        pairs.join(tags, "tag").select("cui_q", "cuisines").distinct()
+        .join(arrays, "cuisines").groupBy("cui_q").agg(F.sum("_n").alias("_n"))
     )
     return _per_request(req, per_q, ["cui_q"])
 

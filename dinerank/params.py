@@ -23,10 +23,6 @@ class Params:
     default_top_k: int = 5
     # Upper bound of top_k; also lets Spark apply a per-group limit.
     max_top_k: int = 20
-    # A derived join side (resolved keys, per-key candidates, substring
-    # pairs) is broadcast only when its written Parquet size is at most this;
-    # beyond it the join shuffles both sides.
-    broadcast_max_bytes: int = 32 * 1024 * 1024
 
     def __post_init__(self) -> None:
         if not self.budget_low_max > 0 or not self.budget_medium_max > 0:
@@ -41,8 +37,6 @@ class Params:
             raise ValueError("scorer_max_retries must be within 0..3")
         if not self.scorer_timeout_seconds > 0:
             raise ValueError("scorer_timeout_seconds must be positive")
-        if self.broadcast_max_bytes < 0:
-            raise ValueError("broadcast_max_bytes must be >= 0")
         if not 1 <= self.default_top_k <= self.max_top_k:
             raise ValueError("default_top_k must be within 1..max_top_k")
 

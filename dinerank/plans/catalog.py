@@ -8,7 +8,6 @@ Every Spark query runs over whole tables. Integer outputs are widened to
 from __future__ import annotations
 
 import os
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +23,7 @@ from dinerank.operators import display, ingest as ing, match, merge, prompts as
 from dinerank.params import DEFAULT
 from dinerank.plans.recommend import recommend
 from dinerank.schemas import COST_COLUMN
-from dinerank.session import cut_lineage, ensure_checkpoint_dir
+from dinerank.session import Scratch, cut_lineage
 from dinerank.sources import fixtures as fx
 from dinerank.sources import listings as io
 
@@ -89,8 +88,7 @@ def sanitized(spark, sf):
 
 def scratch_dir(spark) -> str:
     """A fresh folder under the shared checkpoint directory."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/dinerank-{uuid.uuid4().hex[:12]}"
+    return Scratch(spark).table_path()
 
 
 # --------------------------------------------------------------- 2.1 sources
@@ -423,7 +421,7 @@ def q_select_candidates(spark, sf):
 
 
 def q_recommend_fallback(spark, sf):
-    recs, _ = recommend(listings(spark, sf), requests(spark, sf), materialize=True)
+    recs, _ = recommend(listings(spark, sf), requests(spark, sf), scratch=Scratch(spark))
     return recs.select("request_id", "rank", "listing_id", "explanation")
 
 
@@ -433,7 +431,7 @@ def _recommend_with_replies(spark, sf):
     key = ("replies", id(spark), spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
         _MEMO[key] = cut_lineage(fx.replies(fx.reply_items(candidates(spark, sf))))
-    return recommend(lst, req, _MEMO[key], materialize=True)
+    return recommend(lst, req, _MEMO[key], scratch=Scratch(spark))
 
 
 def q_recommend(spark, sf):

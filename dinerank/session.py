@@ -5,7 +5,6 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,66 +40,79 @@ def get_spark(master: str | None = None, app_name: str = "dinerank",
     return spark
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return ``spark.checkpoint.dir``; set a scratch one only when unset.
+def checkpoint_base(spark: SparkSession) -> str:
+    """The folder for intermediate tables, shared by driver and executors.
 
-    A cluster names a shared folder there; a local test run gets a fresh
-    temporary folder, which is fine because local mode has one machine.
+    ``spark.checkpoint.dir`` of the session, else the directory already set on
+    the context. Only a local session without either gets a temporary folder
+    (one machine, so every task sees it); a cluster without one is refused,
+    because executors would each write to their own disk.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="dinerank-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
-    sc.setCheckpointDir(current)
-    return current
+    named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir().rstrip("/")
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="dinerank-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+class Scratch:
+    """Intermediate tables of one job, in a folder of its own.
+
+    ``cut`` writes a frame there and returns a scan of the written table. As a
+    context manager it deletes the folder on exit; otherwise the folder goes
+    when the application ends (the returned lazy plans still read it). Jobs
+    never share a folder, so one job's end leaves another's tables alone.
+    """
 
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.path = f"{checkpoint_base(spark)}/dinerank-{uuid.uuid4().hex}"
+        self._made = False
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` once as a Parquet table in the shared checkpoint
-    folder and return a scan of it.
+    def _folder(self):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        return p, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
 
-    Survives executor loss (the data is on shared storage, not in executor
-    memory), cuts the lineage, and gives the planner real file statistics.
-    Cheaper than ``DataFrame.checkpoint(eager=True)``, which evaluates the
-    plan once to count and again to write.
-    """
-    return cut_lineage_sized(df)[0]
-
-
-def cut_lineage_sized(df: DataFrame) -> tuple[DataFrame, int]:
-    """:func:`cut_lineage` plus the written size in bytes (file-system
-    metadata, no extra job)."""
-    spark = df.sparkSession
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    path = f"{base}/dinerank-tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _SCRATCH.setdefault(spark.sparkContext.applicationId, []).append(path)
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    size = int(p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength())
-    return spark.read.parquet(path), size
-
-
-_SCRATCH: dict[str, list[str]] = {}
-
-
-@contextmanager
-def scratch_scope(spark: SparkSession):
-    """Delete, on exit, the tables ``cut_lineage`` wrote inside the block
-    (tables written before the block, e.g. memoised inputs, are kept). Use
-    around a job once its outputs are written inside the block."""
-    app = spark.sparkContext.applicationId
-    start = len(_SCRATCH.setdefault(app, []))
-    try:
-        yield
-    finally:
-        paths = _SCRATCH[app][start:]
-        del _SCRATCH[app][start:]
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-        for path in paths:
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(conf).delete(p, True)
+    def table_path(self, name: str | None = None) -> str:
+        if not self._made:
+            p, fs = self._folder()
+            fs.mkdirs(p)
+            fs.deleteOnExit(p)
+            self._made = True
+        return f"{self.path}/{name or uuid.uuid4().hex}"
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """Write ``df`` once as Parquet and return a scan of the table.
+
+        Survives executor loss (shared storage, not executor memory), cuts
+        the lineage and gives the planner real statistics.
+        ``DataFrame.checkpoint`` would evaluate the plan twice.
+        """
+        path = self.table_path()
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def close(self) -> None:
+        if self._made:
+            p, fs = self._folder()
+            fs.delete(p, True)
+            self._made = False
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *exc) -> None:
+        self.close()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """One written intermediate table outside any job scope (see Scratch)."""
+    return Scratch(df.sparkSession).cut(df)
 
 
 _SHIPPED: set = set()

@@ -21,8 +21,6 @@ def test_params_validation():
         Params(max_candidates=0)
     with pytest.raises(ValueError):
         Params(max_additional_preferences_length=10)
-    with pytest.raises(ValueError):
-        Params(broadcast_max_bytes=-1)
     with pytest.raises(ValueError):
         Params(scorer_max_retries=4)
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from conftest import make_requests
 from dinerank.operators import match
 from dinerank.params import Params
+from dinerank.session import Scratch
 
 CAP3 = Params(max_candidates=3)
 
@@ -183,15 +184,15 @@ def test_dedup_agg_equals_window(spark):
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 
-def test_broadcast_bound_does_not_change_results(spark):
+def test_written_intermediates_do_not_change_results(spark):
     from dinerank.operators.ingest import ingest
     from dinerank.sources import fixtures as fx
 
     sf = "/root/testdata/sf0.001"
     lst = ingest(fx.raw_listings(spark, sf)).cache()
     req = fx.requests(spark, sf)
-    a, _ = match.select_candidates(lst, req)                                   # key side broadcast
-    b, _ = match.select_candidates(lst, req, Params(broadcast_max_bytes=0))     # both sides shuffled
+    a, _ = match.select_candidates(lst, req)  # lazy
+    b, _ = match.select_candidates(lst, req, scratch=Scratch(spark))
     cols = ["request_id", "pos", "id"]
     assert a.select(*cols).exceptAll(b.select(*cols)).count() == 0
     assert b.select(*cols).exceptAll(a.select(*cols)).count() == 0
