@@ -24,14 +24,14 @@ def text_or_empty(df: DataFrame, text: str = "text") -> Column:
     return F.coalesce(df[text], F.lit(""))
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cut Arrow batches so that each slice holds about SLICE_BYTES of text
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size_of: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut Arrow batches so that each slice holds about ``size_of`` bytes of text
     (one row at least). Nulls are read as empty texts by the callers."""
     for batch in batches:
         if not batch.num_rows:
             continue
         size = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
-        block = np.cumsum(size.astype(np.int64)) // SLICE_BYTES
+        block = np.cumsum(size.astype(np.int64)) // size_of
         cuts = np.flatnonzero(np.diff(block, prepend=block[0])).tolist()
         for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows], strict=True):
             if hi > lo:
@@ -96,3 +96,24 @@ def gapless(df: DataFrame, group: list[str], order: list[Column], salt_of: Colum
     within = F.row_number().over(Window.partitionBy(*key).orderBy(*order)) - 1
     return (df.withColumn("_i", within).join(starts, key)
             .withColumn(out, (F.col("_start") + F.col("_i")).cast("long")).drop("_salt", "_i", "_start"))
+
+
+#: Bits of the tables of :func:`listed`.
+LIST_BITS = 1 << 22
+
+
+def listed(df: DataFrame, ids: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """``df`` with the boolean ``out``: true for every row whose ``keys`` are in
+    ``ids`` (and for a few others), so false rows can skip a join with ``ids``.
+
+    A bit table over key hashes is broadcast: LIST_BITS / 32 rows at most,
+    however many ids there are. With very many ids it excludes little, which
+    costs time and never rows.
+    """
+    bit = lambda d: F.pmod(F.xxhash64(*[d[k] for k in keys]), F.lit(LIST_BITS))
+    one = lambda b: F.shiftleft(F.lit(1).cast("long"), F.pmod(b, F.lit(32)).cast("int"))
+    words = ids.select(bit(ids).alias("_b")).groupBy(F.shiftright("_b", 5).alias("_word")).agg(
+        F.bit_or(one(F.col("_b"))).alias("_bits"))
+    own = bit(df)
+    return df.join(F.broadcast(words), F.shiftright(own, 5) == F.col("_word"), "left").select(
+        *[df[c] for c in df.columns], F.coalesce(F.col("_bits").bitwiseAND(one(own)) != 0, F.lit(False)).alias(out))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dinerank.llm.common import map_arrow, segment_sums, slices, strings
-from dinerank.llm.subwords import ngrams_of, words_of
+from dinerank.llm.subwords import ngrams_of, word_blocks, words_of
 
 UNDETERMINED = "und"
 
@@ -50,15 +50,19 @@ class LanguageModel:
 
     def logits(self, column: pa.Array) -> np.ndarray:
         offsets, codes, words = words_of(column)
-        grams, at = ngrams_of(words, self.params.sizes, self.params.buckets)
-        word = segment_sums(self.weights[grams], at)
-        count = np.diff(at).astype(np.float64)
+        word, count = np.zeros((len(words), len(self.languages))), np.zeros(len(words))
+        for lo, block in word_blocks(words):
+            grams, at = ngrams_of(block, self.params.sizes, self.params.buckets)
+            word[lo:lo + len(block)] = np.add.reduceat(self.weights[grams], at[:-1], axis=0)
+            count[lo:lo + len(block)] = np.diff(at)
         total = segment_sums(word[codes], offsets)
         n = segment_sums(count[codes], offsets)
         return total / np.maximum(n, 1)[:, None] + self.bias
 
     def predict(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(index of the best language, its calibrated probability)."""
+        if not self.languages:
+            return np.zeros(len(column), dtype=np.int64), np.zeros(len(column))
         p = _softmax(self.logits(column) / self.temperature)
         best = p.argmax(axis=1)
         return best, p[np.arange(len(p)), best]
@@ -70,11 +74,12 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def fit(texts: list[str], labels: list[str], params: LanguageParams = LanguageParams()) -> LanguageModel:
-    """Train on (text, language) pairs; a fifth of the texts sets the temperature."""
+    """Train on (text, language) pairs; a fifth of the texts sets the
+    temperature. No pairs give a model without languages, which answers ``und``."""
     rng = np.random.default_rng(params.seed)
     languages = sorted(set(labels))
     if not languages:
-        raise ValueError("no labelled text to learn languages from")
+        return LanguageModel([], np.zeros((params.buckets, 0)), np.zeros(0), 1.0, params)
     held = rng.random(len(texts)) < 0.2 if len(texts) >= 20 else np.zeros(len(texts), dtype=bool)
     grams_of, label_of = [], []
     for text, label, out in zip(texts, labels, held, strict=True):
@@ -123,9 +128,12 @@ def training_sample(docs: DataFrame, learn: Column, params: LanguageParams, text
     text, lang = F.col(text_col), F.col(lang_col)
     key = F.xxhash64(text, lang)
     start = F.pmod(key, F.greatest(F.length(text) - params.sample_chars, F.lit(0)) + 1).cast("int") + 1
-    return (docs.where(learn & lang.isNotNull() & text.rlike(r"\p{L}"))
-            .select(key.alias("_k"), F.substring(text, start, F.lit(params.sample_chars)).alias("text"), lang.alias("lang"))
-            .orderBy("_k", "text", "lang").limit(params.sample_texts).collect())
+    usable = docs.where(learn & lang.isNotNull() & text.rlike(r"\p{L}"))
+    # The hashes are drawn first, so that only drawn rows bring their text along.
+    keys = usable.select(key.alias("_k")).distinct().orderBy("_k").limit(params.sample_texts)
+    return (usable.join(F.broadcast(keys), key == F.col("_k"))
+            .select("_k", F.substring(text, start, F.lit(params.sample_chars)).alias("text"), lang.alias("lang"))
+            .dropDuplicates(["_k"]).orderBy("_k").collect())
 
 
 def identify(docs: DataFrame, model: LanguageModel, reject_below: float = 0.5, id_col: str = "doc_id",
@@ -148,7 +156,7 @@ def identify(docs: DataFrame, model: LanguageModel, reject_below: float = 0.5, i
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         names = np.array([*model.languages, UNDETERMINED], dtype=object)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", 2 << 20):
             best, p = model.predict(strings(part.column("_text")))
             letters = part.column("_letters").to_numpy(zero_copy_only=False)
             p = np.where(letters, p, 0.0)

@@ -30,11 +30,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dinerank.llm.common import gapless, list_offsets, map_arrow, scratch, slices, strings
+from dinerank.llm.common import gapless, list_offsets, map_arrow, scratch, segment_sums, slices, strings
 
 #: Fixed value: the pre-token pattern of the word vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-CACHE_ENTRIES = 1_000_000
+#: Pre-tokens a worker remembers before it starts anew.
+CACHE_ENTRIES = 2_000_000
 
 
 class WordIds:
@@ -48,33 +49,64 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(PRE_TOKEN).findall
-        self.known: dict[str, list[int]] = {}
-
-    def words(self, words: list[str]) -> list[list[int]]:
+        ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
+        ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.ends = ends
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+    def _learn(self, plain: list[str], other: list[str]) -> None:
+        """Add ids of plain pre-tokens, encoded as one text whose word ends part
+        them, and of words that only the tokenizer can split."""
+        pools, sizes = [self.pool], [self.size]
+        blocks = [plain[lo:lo + 50] for lo in range(0, len(plain), 50)]
+        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, dtype=np.uint32)
+            size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+            if len(size) != len(block):  # not one word each after all
+                other = [*other, *block]
+                continue
+            for p in block:
+                self.known[p] = len(self.known)
+            pools.append(ids), sizes.append(size)
+        for p, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
+            self.known[p] = len(self.known)
+            pools.append(np.array(e.ids, dtype=np.uint32)), sizes.append(np.array([len(e.ids)]))
+        self.pool, self.size = np.concatenate(pools), np.concatenate(sizes)
+
+    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, number per word)."""
         if len(self.known) > CACHE_ENTRIES:
-            self.known = {}
-        known = self.known
+            self._forget()
         # Latin words are lower-cased and split here; anything else, and what
         # may hold a special token, goes to the tokenizer as it is.
-        parts = [self.split(w.lower()) if w.isascii() and "<|" not in w else [w] for w in words]
-        new = list({p for part in parts for p in part if p not in known})
-        for p, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[p] = e.ids
-        return [known[part[0]] if len(part) == 1 else [i for p in part for i in known[p]] for part in parts]
+        plain = [(w.isascii() or max(w) < "ɐ" and "İ" not in w) and "<|" not in w for w in words]
+        parts = [self.split(w.lower()) if ok else [w] for w, ok in zip(words, plain, strict=True)]
+        new = {p: ok for part, ok in zip(parts, plain, strict=True) for p in part if p not in self.known}
+        if new:
+            self._learn([p for p, ok in new.items() if ok], [p for p, ok in new.items() if not ok])
+        flat = np.array([self.known[p] for part in parts for p in part], dtype=np.int64)
+        ends = np.cumsum([0, *map(len, parts)])
+        return _gather(self.pool, self.size, flat), segment_sums(self.size[flat], ends)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, offsets per text) of a string column without nulls."""
         parts = pc.ascii_split_whitespace(column)
         offsets, coded = list_offsets(parts), parts.flatten().dictionary_encode()
-        ids = self.words(coded.dictionary.to_pylist())
-        size = np.array([len(x) for x in ids], dtype=np.int64)
-        pool = np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(size.sum()))
-        start = np.cumsum(size) - size
-        codes = coded.indices.to_numpy()
-        each = size[codes] if len(codes) else np.zeros(0, dtype=np.int64)
-        ends = np.concatenate([[0], np.cumsum(each)])
-        take = np.arange(ends[-1]) + np.repeat((start[codes] if len(codes) else each) - ends[:-1], each)
-        return pool[take], ends[offsets]
+        pool, size = self.words(coded.dictionary.to_pylist())
+        codes = coded.indices.to_numpy().astype(np.int64)
+        return _gather(pool, size, codes), np.concatenate([[0], np.cumsum(size[codes])]).astype(np.int64)[offsets]
+
+
+def _gather(pool: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Concatenation of the entries ``codes`` of a pool with entries of ``size``."""
+    start = np.cumsum(size) - size
+    each = size[codes]
+    total = int(each.sum())
+    return pool[np.arange(total) + np.repeat(start[codes] - (np.cumsum(each) - each), each)]
 
 
 _WORDS: dict[str, WordIds] = {}

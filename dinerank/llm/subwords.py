@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,8 +22,17 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return offsets, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
 
 
+#: Distinct words whose n-grams are held at once.
+WORDS = 1 << 14
+
+
+def word_blocks(words: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    for lo in range(0, len(words), WORDS):
+        yield lo, words.slice(lo, WORDS)
+
+
 def ngrams_of(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed byte n-grams of each word between boundary marks, and the word
+    """Hashed byte n-grams of each word between boundary marks, and last the word
     itself: (bucket of each n-gram grouped by word, offsets per word)."""
     n = len(words)
     raw = words.cast(pa.large_binary())
@@ -35,25 +46,21 @@ def ngrams_of(words: pa.Array, sizes: tuple[int, ...], buckets: int) -> tuple[np
     inside[begin + marked - 1] = False
     buf[inside] = data
     word_of = np.repeat(np.arange(n), marked)
-    tail = np.repeat(begin + marked, marked) - np.arange(len(buf))  # bytes from here to the word's end
-    owner, bucket = [], []
+    place = np.arange(len(buf)) - begin[word_of]
+    tail = marked[word_of] - place  # bytes from here to the word's end
+    each = sum((np.maximum(marked - k + 1, 0) for k in sizes), np.ones(n, dtype=np.int64))
+    offsets = np.concatenate([[0], np.cumsum(each)])
+    out = np.empty(int(offsets[-1]), dtype=np.int32)
+    free = offsets[:-1].copy()
     gram = np.zeros(len(buf), dtype=np.uint64)
     for k in range(1, max(sizes) + 1):
-        shifted = np.zeros_like(buf)
-        shifted[: len(buf) - k + 1] = buf[k - 1:]
-        gram = gram * np.uint64(0x100000001B3) + shifted + np.uint64(1)
+        gram *= np.uint64(0x100000001B3)
+        gram[: len(buf) - k + 1] += buf[k - 1:] + np.uint64(1)
         if k in sizes:
             at = np.flatnonzero(tail >= k)
-            owner.append(word_of[at])
-            bucket.append(mix64(gram[at] + np.uint64(k << 56)) % np.uint64(buckets))
-    whole = np.zeros(n, dtype=np.uint64)
-    if len(buf):  # a polynomial over the whole word
-        power = np.uint64(0x9E3779B97F4A7C15)
-        weight = np.cumprod(np.full(int(marked.max(initial=1)), power, dtype=np.uint64))
-        place = np.arange(len(buf)) - np.repeat(begin, marked)
-        whole = np.add.reduceat(buf * weight[place], begin) if n else whole
-    owner.append(np.arange(n))
-    bucket.append(mix64(whole) % np.uint64(buckets))
-    owner, bucket = np.concatenate(owner), np.concatenate(bucket).astype(np.int64)
-    order = np.argsort(owner, kind="stable")
-    return bucket[order], np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=n))]).astype(np.int64)
+            out[free[word_of[at]] + place[at]] = mix64(gram[at] + np.uint64(k << 56)) % np.uint64(buckets)
+            free += np.maximum(marked - k + 1, 0)
+    if n:  # a polynomial over the whole word
+        weight = np.cumprod(np.full(int(marked.max()), np.uint64(0x9E3779B97F4A7C15)), dtype=np.uint64)
+        out[free] = mix64(np.add.reduceat(buf * weight[place], begin)) % np.uint64(buckets)
+    return out, offsets
