@@ -111,7 +111,7 @@ def listed(df: DataFrame, ids: DataFrame, keys: list[str], out: str) -> DataFram
     costs time and never rows.
     """
     bit = lambda d: F.pmod(F.xxhash64(*[d[k] for k in keys]), F.lit(LIST_BITS))
-    one = lambda b: F.shiftleft(F.lit(1).cast("long"), F.pmod(b, F.lit(32)).cast("int"))
+    one = lambda b: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(b, F.lit(32)).cast("int"))
     words = ids.select(bit(ids).alias("_b")).groupBy(F.shiftright("_b", 5).alias("_word")).agg(
         F.bit_or(one(F.col("_b"))).alias("_bits"))
     own = bit(df)

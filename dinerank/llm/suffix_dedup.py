@@ -121,7 +121,7 @@ def _parts(texts: list[bytes], length: int) -> Iterator[list[tuple[int, int, byt
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id, v, text``: rows of one id with different texts differ in v."""
     text = docs[text_col].cast("string")
-    return docs.select(docs[id_col].cast("long").alias("id"), F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")).cast("int").alias("v"),
+    return docs.select(docs[id_col].cast("long").alias("id"), (F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")) - F.lit(1 << 31)).cast("int").alias("v"),
                        text.alias("text"))
 
 

@@ -218,5 +218,6 @@ def _search(queries: DataFrame, base: DataFrame, params: SearchParams) -> DataFr
 
     # A shard's vectors go to each block of queries that asks for it.
     copies = base.join(queries.select("block", "shard").distinct(), "shard")
+    copies = copies.select(*[F.col(c).alias(c) for c in ("block", "shard", "id", "v", "dim")])  # columns of their own
     return queries.groupBy("block", "shard").cogroup(copies.groupBy("block", "shard")).applyInPandas(
         search, "query_id long, vec_id long, score long")
