@@ -32,17 +32,8 @@ def budget_label(band: Column) -> Column:
 
 
 def budget_chip(band: Column) -> Column:
-    """Card chip: 'Low budget' / 'Medium budget' / 'High budget' / 'Unknown budget'."""
-    return F.concat(F.initcap(F.coalesce(band, F.lit("unknown"))), F.lit(" budget"))
-
-
-def budget_option_label(band: Column, low_max: float = 500.0, medium_max: float = 1500.0) -> Column:
-    """Form option text with the band limits, e.g. 'Medium (≤ ₹1500)'."""
-    return (
-        F.when(band == "low", F.lit(f"Low (≤ ₹{low_max:.0f})"))
-        .when(band == "medium", F.lit(f"Medium (≤ ₹{medium_max:.0f})"))
-        .when(band == "high", F.lit(f"High (> ₹{medium_max:.0f})"))
-    )
+    """Card chip: 'Low Budget' / 'Medium Budget' / 'High Budget'; NULL -> 'Unknown budget'."""
+    return F.coalesce(F.concat(F.initcap(band), F.lit(" Budget")), F.lit("Unknown budget"))
 
 
 def rating_label(rating: Column) -> Column:

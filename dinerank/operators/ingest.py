@@ -5,9 +5,8 @@ One lazy chain of projections and one filter: no shuffle, no Python.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from dinerank.functions.parse import (
     budget_band,
@@ -46,18 +45,34 @@ def _raw(df: DataFrame, canonical: str) -> Column:
     return F.lit(None).cast("string")
 
 
-def with_row_index(raw: DataFrame, name: str = "row_index") -> DataFrame:
-    """Attach the source position when the data has none.
+def position(col: Column) -> Column:
+    """A row position that must not be null."""
+    return F.coalesce(col.cast("bigint"), F.raise_error(F.lit("a raw row has a null row_index")).cast("bigint"))
 
-    ``zipWithIndex`` numbers rows in partition order (one extra job to count
-    partitions); ``monotonically_increasing_id`` is not a position. Prefer a
-    position column written by the producer of the data.
+
+def with_row_index(raw: DataFrame, name: str = "row_index", origin: list[str] | None = None) -> DataFrame:
+    """Attach the source position (0, 1, 2, ...) when the data has none.
+
+    ``origin`` columns (dropped here) tell where a run of rows comes from, in
+    order: file and first byte for a file scan, so that positions follow file
+    names and bytes however the files are dealt to tasks. Without them rows
+    are numbered in partition order. Rows per origin are counted once; offsets
+    are a running sum over that small table, joined back.
     """
     if name in raw.columns:
         return raw
-    schema = T.StructType(raw.schema.fields + [T.StructField(name, T.LongType(), False)])
-    rdd = raw.rdd.zipWithIndex().map(lambda pair: (*pair[0], pair[1]))
-    return raw.sparkSession.createDataFrame(rdd, schema)
+    own = origin or ["_part"]
+    numbered = raw.withColumn("_at", F.monotonically_increasing_id())
+    if not origin:
+        numbered = numbered.withColumn("_part", F.shiftrightunsigned("_at", 33))
+    counts = numbered.groupBy(*own).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
+    before = Window.orderBy(*own).rowsBetween(Window.unboundedPreceding, -1)  # a row per file split
+    offsets = counts.select(*own, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    return (
+        numbered.join(offsets, own)
+        .withColumn(name, (F.col("_offset") + F.col("_at") - F.col("_first")).cast("bigint"))
+        .select(*[F.col(f"`{c}`") for c in raw.columns if c not in (origin or [])], name)
+    )
 
 
 def project_columns(raw: DataFrame) -> DataFrame:
@@ -87,7 +102,7 @@ def normalize_listings(raw: DataFrame, params: Params = DEFAULT) -> DataFrame:
         clean_string(_raw(raw, "online_order")).alias("online_order"),
         clean_string(_raw(raw, "book_table")).alias("book_table"),
         clean_string(_raw(raw, "url")).alias("url"),
-        F.col("row_index").cast("bigint").alias("row_index"),
+        position(F.col("row_index")).alias("row_index"),
     ).where(F.col("name").isNotNull())
     typed = base.select(
         "*",

@@ -106,6 +106,17 @@ def cuisine_picker(listings: DataFrame) -> DataFrame:
     return head.unionByName(extras).select(F.col("block").cast("int"), F.col("pos").cast("int"), "label")
 
 
+def cuisine_picker_at(spark: SparkSession, base: str) -> DataFrame:
+    """:func:`cuisine_picker` over the listings published at ``base``; the fixed
+    list where there are none to read."""
+    from dinerank.sources.listings import scan_listings
+
+    try:
+        return cuisine_picker(scan_listings(spark, base))
+    except (FileNotFoundError, ValueError):
+        return _fixed(spark, [(0, i + 1, c) for i, c in enumerate(FALLBACK_CUISINES)], "block int, pos int, label string")
+
+
 def resolve_area(picks: DataFrame, pick: str = "pick", custom: str = "custom") -> DataFrame:
     """Map an area pick to its filter value: the custom option takes the typed
     text, a known label its substring, anything else itself (stripped)."""

@@ -20,6 +20,8 @@ class Params:
     max_additional_preferences_length: int = 500
     scorer_max_retries: int = 1
     scorer_timeout_seconds: float = 30.0
+    # Tasks that ask the scorer side by side; 0: four per core.
+    scorer_partitions: int = 0
     default_top_k: int = 5
     # Upper bound of top_k; also lets Spark apply a per-group limit.
     max_top_k: int = 20
@@ -37,6 +39,8 @@ class Params:
             raise ValueError("scorer_max_retries must be within 0..3")
         if not self.scorer_timeout_seconds > 0:
             raise ValueError("scorer_timeout_seconds must be positive")
+        if self.scorer_partitions < 0:
+            raise ValueError("scorer_partitions must not be negative")
         if not 1 <= self.default_top_k <= self.max_top_k:
             raise ValueError("default_top_k must be within 1..max_top_k")
 

@@ -21,7 +21,7 @@ from dinerank.functions.parse import (
 from dinerank.functions.text import clean_string, ustrip
 from dinerank.operators import display, ingest as ing, match, merge, prompts as pr, replies as rp, score, vocab
 from dinerank.params import DEFAULT
-from dinerank.plans.recommend import recommend
+from dinerank.plans.recommend import recommend, run_ingest
 from dinerank.schemas import COST_COLUMN
 from dinerank.session import Scratch, cut_lineage
 from dinerank.sources import fixtures as fx
@@ -93,8 +93,18 @@ def scratch_dir(spark) -> str:
 
 # --------------------------------------------------------------- 2.1 sources
 
+def _raw_source(spark, sf):
+    """The raw listings as a source would hold them: files in a folder, written
+    in the order of their positions, without a position column, one column
+    (``menu_item``) missing."""
+    path = scratch_dir(spark)
+    rows = raw(spark, sf).repartitionByRange(4, "row_index").sortWithinPartitions("row_index")
+    rows.drop("menu_item", "row_index").write.parquet(f"{path}/train")
+    return path
+
+
 def q_scan_raw(spark, sf):
-    return raw(spark, sf)
+    return io.scan_raw(spark, _raw_source(spark, sf), "parquet", "train")
 
 
 def q_roundtrip_parquet(spark, sf):
@@ -105,8 +115,9 @@ def q_roundtrip_parquet(spark, sf):
 
 def q_manifest(spark, sf):
     base = scratch_dir(spark)
-    m = io.publish(listings(spark, sf), base)
-    return spark.createDataFrame([(int(m["row_count"]),)], "row_count bigint")
+    io.publish(listings(spark, sf), base)
+    # Read back from the published version, not taken from the call.
+    return spark.createDataFrame([(int(io.read_manifest(spark, base)["row_count"]),)], "row_count bigint")
 
 
 def q_scan_listings(spark, sf):
@@ -122,7 +133,11 @@ def q_sanitize_nan(spark, sf):
 
 
 def q_ingest(spark, sf):
-    return ing.flatten_listings(listings(spark, sf))
+    """The ingest job over raw files that carry their own positions."""
+    base = scratch_dir(spark)
+    raw(spark, sf).write.parquet(f"{base}/raw")
+    run_ingest(spark, f"{base}/raw", f"{base}/listings")
+    return ing.flatten_listings(io.scan_listings(spark, f"{base}/listings"))
 
 
 # ------------------------------------------------------ 2.2 ingest functions
@@ -287,8 +302,7 @@ def q_validate_requests(spark, sf):
 
 def q_lookup_by_ids(spark, sf):
     ids = reply_items(spark, sf).select("request_id", "pos", F.col("listing_id").alias("id"))
-    lst = listings(spark, sf).select("id", "name")
-    return ids.join(lst, "id").select("request_id", "pos", "id", "name")
+    return io.lookup_by_ids(listings(spark, sf).select("id", "name"), ids)
 
 
 def q_merge_replies(spark, sf):
@@ -304,7 +318,7 @@ def q_drop_unknown_ids(spark, sf):
 
 def q_backfill(spark, sf):
     items, c = sanitized(spark, sf)
-    recs = merge.merge_recommendations(items.where(F.col("rank") <= 2), c, valid(spark, sf))
+    recs = merge.merge_recommendations(items, c, valid(spark, sf))
     return recs.select("request_id", "rank", "listing_id", "source")
 
 
@@ -403,14 +417,15 @@ def q_sanitize_replies(spark, sf):
 
 def q_parse_replies(spark, sf):
     p = rp.parse_replies(fx.replies(reply_items(spark, sf)))
-    return p.select("request_id", "valid", "summary", F.size("items").alias("n_items"))
+    shown = F.transform("items", lambda x: F.concat_ws("|", x["restaurant_id"], x["rank"].cast("string"), x["explanation"]))
+    return p.select("request_id", "valid", "summary", F.array_join(shown, ";").alias("items"))
 
 
 def q_prompts(spark, sf):
     c = candidates(spark, sf)
     p = pr.build_prompts(c, valid(spark, sf))
     return p.select("request_id", "top_k", F.array_join("allowed_ids", ",").alias("allowed_ids"),
-                    F.size("allowed_ids").alias("n_allowed"), F.size("messages").alias("n_messages"))
+                    F.col("messages")[0]["content"].alias("system_text"), F.col("messages")[1]["content"].alias("user_text"))
 
 
 # ---------------------------------------------------- 2.10 composites

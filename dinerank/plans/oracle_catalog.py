@@ -117,7 +117,7 @@ KNOWN_AREAS = "(values " + ", ".join(f"({_lit(v.lower())})" for v in vocab.AREA_
 
 def oracle_sql() -> dict[str, str]:
     q: dict[str, str] = {}
-    q["scan_raw"] = _w(L) + "select * from raw_listings"
+    q["scan_raw"] = _w(L) + "select * replace (row_number() over (order by row_index) - 1 as row_index) from raw_listings"
     q["project_columns"] = _w(L) + (
         f"select name, location as locality, address, cuisines, {COST_COL} as cost, rate as rating, votes, "
         "rest_type, online_order, book_table, url, row_index from raw_listings")
@@ -195,7 +195,7 @@ from picks"""
     q["lookup_by_ids"] = _w(L, R, C, RI) + (
         "select ri.request_id, cast(ri.pos as bigint) as pos, l.id, l.name from reply_items ri join listings l on l.id = ri.listing_id")
     q["merge_replies"] = _w(L, R, C, RI, SAN, merge_ctes()) + "select request_id, rank, listing_id, explanation, source from recs"
-    q["backfill"] = _w(L, R, C, RI, SAN, merge_ctes("s.rank <= 2")) + "select request_id, rank, listing_id, source from recs"
+    q["backfill"] = _w(L, R, C, RI, SAN, merge_ctes()) + "select request_id, rank, listing_id, source from recs"
     q["drop_unknown_ids"] = _w(L, R, C, RI, SAN) + "select request_id, cast(pos as bigint) as pos, listing_id from known"
     q["dedup_reply_ids"] = _w(L, R, C, RI) + (
         "select request_id, cast(pos as bigint) as pos, listing_id from (select *, row_number() over "
@@ -250,22 +250,35 @@ select request_id, rank, listing_id from (
 
     q["extract_json_block"] = _w(L, R, C, RI) + f"select request_id, {BLOCK} as block from replies"
     q["parse_replies"] = _w(L, R, C, RI) + """
-select request_id, request_id % 7 in (0, 1, 2) as valid,
-       case when request_id % 7 in (0, 1, 2) then 'Top picks for request ' || cast(request_id as varchar) end as summary,
-       case when request_id % 7 in (0, 1, 2) then (select count(*) from reply_items i where i.request_id = rp.request_id) else 0 end as n_items
+select request_id, request_id % 10 in (0, 1, 2) as valid,
+       case when request_id % 10 in (0, 1, 2) then 'Top picks for request ' || cast(request_id as varchar) end as summary,
+       case when request_id % 10 in (0, 1, 2) then (
+         select string_agg(listing_id || '|' || cast(rank as varchar) || '|' || explanation, ';' order by pos)
+         from reply_items i where i.request_id = rp.request_id) else '' end as items
 from replies rp"""
-    q["prompts"] = _w(L, R, C) + (
-        "select c.request_id, cast(r.top_k as bigint) as top_k, string_agg(c.id, ',' order by c.pos) as allowed_ids, "
-        "count(*) as n_allowed, cast(2 as bigint) as n_messages from cands c join req r using (request_id) "
-        "group by c.request_id, r.top_k")
+    option = ("'{\"restaurant_id\":' || to_json(c.id) || ',\"name\":' || to_json(c.name) || ',\"location\":' || to_json(c.location) || "
+              "',\"cuisines\":' || to_json(c.cuisines) || ',\"rating\":' || cast(c.rating as varchar) || ',\"estimated_cost\":' || "
+              "coalesce(cast(c.estimated_cost as varchar), 'null') || ',\"budget_band\":' || to_json(c.budget_band) || '}'")
+    wishes = ("case when length(r.additional_preferences) > 500 then substring(r.additional_preferences, 1, 500) || '...' "
+              "else coalesce(r.additional_preferences, 'none specified') end")
+    q["prompts"] = _w(L, R, C) + f"""
+select c.request_id, cast(r.top_k as bigint) as top_k, string_agg(c.id, ',' order by c.pos) as allowed_ids,
+       {_lit("The user message is one JSON object about a diner. Its `options` are the only places that exist for you, known by the ids in `allowed_ids`. Pick up to `pick` of them, best first, judged by `diner`, and say in a sentence why each one suits. Reply with a single JSON object shaped like `reply_example` and nothing else.")} as system_text,
+       '{{"diner":{{"location":' || to_json(r.location) || ',"budget":' || to_json(r.budget) || ',"cuisine":' || to_json(r.cuisine)
+         || ',"min_rating":' || cast(r.min_rating as varchar) || ',"wishes":' || to_json({wishes}) || '}},"pick":' || cast(r.top_k as varchar)
+         || ',"options":[' || string_agg({option}, ',' order by c.pos) || '],"allowed_ids":[' || string_agg(to_json(c.id), ',' order by c.pos)
+         || '],"reply_example":{{"summary":"optional remark","recommendations":[{{"restaurant_id":"an allowed id","rank":1,"explanation":"reason"}}]}}}}'
+         as user_text
+from cands c join req r using (request_id)
+group by c.request_id, r.top_k, r.location, r.budget, r.cuisine, r.min_rating, r.additional_preferences"""
     q["select_candidates"] = _w(L, R, C) + "select request_id, cast(pos as bigint) as pos, id from cands"
     q["recommend"] = _w(L, R, C, RI, SAN, merge_ctes(), FALLBACK_RECS) + """
-select request_id, rank, listing_id, explanation, source from recs where request_id % 7 in (0, 1, 2)
+select request_id, rank, listing_id, explanation, source from recs where request_id % 10 in (0, 1, 2)
 union all
-select request_id, rank, listing_id, explanation, source from fb where request_id % 7 not in (0, 1, 2)"""
+select request_id, rank, listing_id, explanation, source from fb where request_id % 10 not in (0, 1, 2)"""
     fb_summary = _fmt(FALLBACK_SUMMARY, "cast(least(r.top_k, c.cc) as varchar)", "r.cuisine", "r.location", "r.budget")
     q["responses"] = _w(L, R, C, STATS, """
-x as (select r.*, t.total, c.cc, r.request_id % 7 in (0, 1, 2) and c.cc > 0 as ok
+x as (select r.*, t.total, c.cc, r.request_id % 10 in (0, 1, 2) and c.cc > 0 as ok
       from req r join tot t using (request_id) join cc c using (request_id))""") + f"""
 select request_id,
        case when total = 0 or cc = 0 then 'empty' when ok then 'success' else 'fallback' end as status,
@@ -277,7 +290,10 @@ select request_id,
        not (total = 0 or cc = 0 or ok) as llm_fallback,
        case when total > 0 then total > cc end as was_capped,
        cast(least(top_k, cc) as bigint) as n_recommendations
-from x"""
+from x
+union all
+select request_id, 'rejected', null, reject_reason, 0, 0, false, null, 0
+from (select request_id, {REJECT} as reject_reason from requests_fx) where reject_reason is not null"""
     q["score_prompts"] = _w(L, R, C) + (
         "select request_id, '{\"summary\": null, \"recommendations\": [' || "
         "string_agg('{\"restaurant_id\": \"' || id || '\", \"rank\": ' || cast(pos as varchar) || "
@@ -294,8 +310,8 @@ select fb.request_id, fb.rank, fb.listing_id, c.name,
        case when c.estimated_cost is null then 'N/A'
             else '₹' || format('{{:,.0f}}', c.estimated_cost) || ' for two' end as cost_label,
        coalesce(c.budget_band, 'unknown') as budget_label,
-       case c.budget_band when 'low' then 'Low budget' when 'medium' then 'Medium budget'
-            when 'high' then 'High budget' else 'Unknown budget' end as budget_chip,
+       case c.budget_band when 'low' then 'Low Budget' when 'medium' then 'Medium Budget'
+            when 'high' then 'High Budget' else 'Unknown budget' end as budget_chip,
        fb.explanation
 from fb join cands c on c.request_id = fb.request_id and c.id = fb.listing_id"""
     q["reply_content"] = _w(L, R, C, RI) + "select request_id, raw as content from replies"

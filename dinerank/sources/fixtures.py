@@ -145,19 +145,27 @@ def requests_sql() -> str:
 
 # ---------------------------------------------------------- reply fixtures
 #
-# reply_items: from the capped candidates, positions 1..6 with reversed ranks
-# (7 - pos), a blank explanation where pos % 4 = 0, then a repeat of the first
-# id (pos 7, rank 2) and an unknown id 'zzz' (pos 8, rank 1).
-# replies: the JSON text of those items, shaped by request_id % 7: plain,
-# fenced with prose, embedded in prose, truncated, prose only, blank, NULL.
+# reply_items: from the capped candidates, positions 1..n with reversed ranks
+# (7 - pos), n = 1 + request_id % 6 (so many replies are shorter than top_k), a
+# blank explanation where pos % 4 = 0, then a repeat of the first id (pos 7,
+# rank 2) and an unknown id 'zzz' (pos 8, rank 1).
+# replies: the JSON text of those items, shaped by request_id % 10: plain,
+# fenced with prose, embedded in prose, truncated, prose only, blank, NULL, and
+# three that break the schema: a rank of 0 added, an item that is not an
+# object, a null explanation.
 
 UNKNOWN_ID = "zzz"
+BROKEN_ITEMS = (
+    '{"restaurant_id":"zzz","rank":0,"explanation":"x"}',
+    "17",
+    '{"restaurant_id":"zzz","rank":1,"explanation":null}',
+)
 REPLY_PROSE = "I cannot rank these right now."
 
 
 def reply_items(candidates: DataFrame) -> DataFrame:
     """``(request_id, pos, listing_id, rank, explanation)``."""
-    base = candidates.where(F.col("pos") <= 6).select(
+    base = candidates.where(F.col("pos") <= 1 + F.col("request_id") % 6).select(
         "request_id",
         F.col("pos").cast("int").alias("pos"),
         F.col("id").alias("listing_id"),
@@ -185,7 +193,8 @@ def replies(items: DataFrame) -> DataFrame:
             x["it"]["listing_id"].alias("restaurant_id"), x["it"]["rank"].alias("rank"),
             x["it"]["explanation"].alias("explanation"))).alias("recommendations"),
     ))
-    kind = F.col("request_id") % 7
+    kind = F.col("request_id") % 10
+    broken = lambda item: F.regexp_replace(F.col("_doc"), r"\]\}$", f",{item}]}}")
     raw = (
         F.when(kind == 0, doc)
         .when(kind == 1, F.concat(F.lit("Here you go:\n```json\n"), doc, F.lit("\n```\nEnjoy!")))
@@ -193,6 +202,9 @@ def replies(items: DataFrame) -> DataFrame:
         .when(kind == 3, F.expr("substring(_doc, 1, length(_doc) - 10)"))
         .when(kind == 4, F.lit(REPLY_PROSE))
         .when(kind == 5, F.lit("   "))
+        .when(kind == 7, broken(BROKEN_ITEMS[0]))
+        .when(kind == 8, broken(BROKEN_ITEMS[1]))
+        .when(kind == 9, broken(BROKEN_ITEMS[2]))
     )
     return per_req.withColumn("_doc", doc).select("request_id", raw.alias("raw"))
 
@@ -207,7 +219,7 @@ def reply_items_sql() -> str:
 reply_items as (
   select request_id, cast(pos as integer) as pos, id as listing_id, cast(7 - pos as bigint) as rank,
          case when pos % 4 = 0 then ' ' else 'fits: ' || name end as explanation
-  from cands where pos <= 6
+  from cands where pos <= 1 + request_id % 6
   union all
   select request_id, 7, id, 2, 'again' from cands where pos = 1
   union all
@@ -216,12 +228,15 @@ reply_docs as (
   select request_id, {doc} as doc from reply_items group by request_id),
 replies as (
   select request_id,
-         case request_id % 7
+         case request_id % 10
            when 0 then doc
            when 1 then 'Here you go:' || chr(10) || '```json' || chr(10) || doc || chr(10) || '```' || chr(10) || 'Enjoy!'
            when 2 then 'Sure! ' || doc || ' Hope this helps.'
            when 3 then substring(doc, 1, length(doc) - 10)
            when 4 then '{REPLY_PROSE}'
            when 5 then '   '
+           when 7 then substring(doc, 1, length(doc) - 2) || ',{BROKEN_ITEMS[0]}' || ']}}'
+           when 8 then substring(doc, 1, length(doc) - 2) || ',{BROKEN_ITEMS[1]}' || ']}}'
+           when 9 then substring(doc, 1, length(doc) - 2) || ',{BROKEN_ITEMS[2]}' || ']}}'
            else null end as raw
   from reply_docs)"""

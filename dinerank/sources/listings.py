@@ -17,7 +17,8 @@ from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from dinerank.schemas import LISTING, RAW_LISTING, check_raw_columns
+from dinerank.operators.ingest import position, with_row_index
+from dinerank.schemas import LISTING, RAW_COLUMNS, check_raw_columns
 
 POINTER = "_CURRENT"
 MANIFEST = "_manifest.json"
@@ -58,15 +59,24 @@ def read_text(spark: SparkSession, path: str) -> str:
 # ------------------------------------------------------------------- sources
 
 def scan_raw(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = None) -> DataFrame:
-    """Raw listing rows with the explicit all-string schema; ``split`` is a
-    sub-directory (e.g. 'train')."""
+    """Raw listing rows: the known columns as strings (null where the source
+    lacks an optional one) and ``row_index``, the row's position.
+
+    The source's own schema is read, CSV columns by their header names, so
+    required columns that are missing are noticed; ``split`` is a
+    sub-directory (e.g. 'train').
+    """
     full = f"{path.rstrip('/')}/{split}" if split else path
-    reader = spark.read.schema(RAW_LISTING)
+    reader = spark.read
     if fmt == "csv":
-        reader = reader.option("header", "true")
+        reader = reader.options(header="true", multiLine="true", escape='"')
     df = reader.format(fmt).load(full)
     check_raw_columns(df)
-    return df
+    if "row_index" not in df.columns:
+        df = with_row_index(df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}),
+                            origin=["_file", "_start"])
+    return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast("string").alias(c) for c in RAW_COLUMNS],
+                     position(F.col("row_index")).alias("row_index"))
 
 
 def current_version(spark: SparkSession, base: str) -> str:
@@ -77,17 +87,26 @@ def current_version(spark: SparkSession, base: str) -> str:
     return base
 
 
-def scan_listings(spark: SparkSession, base: str, check_empty: bool = True) -> DataFrame:
-    """Canonical listings; missing table -> ``FileNotFoundError``, empty ->
-    ``ValueError``."""
+def scan_listings(spark: SparkSession, base: str) -> DataFrame:
+    """Canonical listings; no such folder -> ``FileNotFoundError``; nothing
+    published in it, or a table without rows -> ``ValueError``."""
     if not path_exists(spark, base):
-        raise FileNotFoundError(f"Processed dataset not found at {base}")
+        raise FileNotFoundError(f"no listing table at {base}: ingest into it first")
     df = spark.read.schema(LISTING).parquet(current_version(spark, base))
-    if check_empty and df.isEmpty():
-        raise ValueError(f"Processed dataset at {base} is empty.")
+    if df.isEmpty():
+        raise ValueError(f"the listing table at {base} holds no rows")
     return df
 
 
+def lookup_by_ids(listings: DataFrame, ids: DataFrame, id_col: str = "id", pos_col: str = "pos") -> DataFrame:
+    """The listings named by ``ids(pos, id, ...)`` in the order of ``pos``: a repeated id
+    gives its listing again, an unknown one gives nothing."""
+    keep = [c for c in ids.columns if c != id_col]
+    rest = [c for c in listings.columns if c != "id" and c not in keep]
+    wanted = ids.withColumnRenamed(id_col, "id") if id_col != "id" else ids
+    return wanted.join(listings.select("id", *rest), "id").select(*keep, "id", *rest).orderBy(pos_col)
+
+
 def reload_listings(spark: SparkSession, base: str) -> DataFrame:
     """Re-read the published table after a new version was swapped in
     (drops cached file listings of the old version first)."""
@@ -113,36 +132,43 @@ def sanitize_nan(df: DataFrame) -> DataFrame:
 # --------------------------------------------------------------------- sinks
 
 def publish(df: DataFrame, base: str, version: str | None = None, num_files: int | None = None) -> dict:
-    """Write ``df`` as a new version under ``base``; refuse an empty result;
-    then swap the pointer and write the manifest. Returns the manifest.
+    """Write ``df`` as a new version under ``base`` with its manifest, then move
+    the pointer to it. A version without rows is removed and refused. Returns
+    the manifest.
 
-    ``num_files`` spreads the rows over that many files (one round-robin
-    shuffle) so later scans split into parallel tasks even for a small table;
-    by default Spark's own write layout is kept.
+    Rows are sorted by ``(budget_band, location)`` inside each file, so row
+    groups can be skipped; with ``num_files`` they are dealt into that many
+    files by ranges of the same columns.
     """
     spark = df.sparkSession
     version = version or datetime.now(timezone.utc).strftime("v%Y%m%dT%H%M%S%f") + "-" + uuid.uuid4().hex[:6]
     target = f"{base.rstrip('/')}/{version}"
     obs = Observation("publish")
     observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
+    order = [c for c in ("budget_band", "location", "id") if c in df.columns]
     if num_files:
-        observed = observed.repartition(num_files)
+        observed = observed.repartitionByRange(num_files, *order) if order else observed.repartition(num_files)
+    if order:
+        observed = observed.sortWithinPartitions(*order)
     observed.write.mode("overwrite").parquet(target)
     rows = int(obs.get["rows"])
     if rows == 0:
-        raise ValueError("Refusing to publish an empty restaurant dataset.")
-    write_text(spark, f"{base.rstrip('/')}/{POINTER}", version)
+        fs, p = _fs(spark, target)
+        fs.delete(p, True)
+        raise ValueError(f"nothing to publish at {base}: the ingest left no rows")
     manifest = {
         "row_count": rows,
         "ingested_at": datetime.now(timezone.utc).isoformat(),
         "output_path": target,
     }
-    write_text(spark, f"{base.rstrip('/')}/{MANIFEST}", json.dumps(manifest, indent=2))
+    write_text(spark, f"{target}/{MANIFEST}", json.dumps(manifest, indent=2))
+    write_text(spark, f"{base.rstrip('/')}/{POINTER}", version)
     return manifest
 
 
 def read_manifest(spark: SparkSession, base: str) -> dict:
-    return json.loads(read_text(spark, f"{base.rstrip('/')}/{MANIFEST}"))
+    """The manifest of the published version."""
+    return json.loads(read_text(spark, f"{current_version(spark, base).rstrip('/')}/{MANIFEST}"))
 
 
 def ensure_listings(spark: SparkSession, base: str, build=None, allow_build: bool = True) -> str:
@@ -151,8 +177,8 @@ def ensure_listings(spark: SparkSession, base: str, build=None, allow_build: boo
     if path_exists(spark, f"{base.rstrip('/')}/{POINTER}"):
         return base
     if not allow_build or build is None:
-        raise FileNotFoundError(f"Restaurant dataset not found at {base}; run the ingest job first.")
+        raise FileNotFoundError(f"{base} has no published listings and building them is not allowed")
     manifest = build()
     if not manifest or int(manifest.get("row_count", 0)) <= 0 or not path_exists(spark, f"{base.rstrip('/')}/{POINTER}"):
-        raise RuntimeError("Ingestion completed but no restaurants were written.")
+        raise RuntimeError(f"the build for {base} ended without publishing any listing")
     return base

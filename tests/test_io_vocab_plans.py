@@ -27,7 +27,7 @@ def test_params_validation():
 
 def test_missing_required_columns(spark):
     df = spark.createDataFrame([("x", 0)], "name string, row_index long")
-    with pytest.raises(ValueError, match="missing required columns"):
+    with pytest.raises(ValueError, match="raw listings lack"):
         normalize_listings(df)
 
 
@@ -44,7 +44,7 @@ def test_publish_scan_manifest(spark, scenario_listings):
 
 def test_publish_refuses_empty(spark, scenario_listings):
     base = os.path.join(tempfile.mkdtemp(), "listings")
-    with pytest.raises(ValueError, match="empty"):
+    with pytest.raises(ValueError, match="nothing to publish"):
         io.publish(scenario_listings.where("false"), base)
     # nothing was published: readers get "not found" or "empty", never rows
     with pytest.raises((FileNotFoundError, ValueError)):
