@@ -90,8 +90,9 @@ def tile(item: np.ndarray, text: np.ndarray, least: int, first: int = 20) -> lis
                 done_t[t:t - k] = True
                 tiles.append((i, t, -k))
             else:
-                again = True  # partly taken: its free part may still hold a run
-        if again and found:
+                again = True  # partly taken: what is left of it may still be the longest run
+                break
+        if again:
             continue
         if size <= least:
             return tiles

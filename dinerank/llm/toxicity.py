@@ -30,13 +30,13 @@ from dinerank.session import Scratch
 @dataclass(frozen=True)
 class ToxicParams:
     sample_toxic: int = 1500  # labelled training texts of either kind
-    sample_clean: int = 4000
+    sample_clean: int = 5000
     sample_chars: int = 4000  # of a text used for training, from a hashed position
     window: int = 32  # words
-    stride: int = 16
+    stride: int = 20
     word_buckets: int = 1 << 14
     gram_buckets: int = 1 << 15
-    sizes: tuple[int, ...] = (3, 5)
+    sizes: tuple[int, ...] = (4,)
     word_dim: int = 8
     gram_dim: int = 16
     hidden: int = 8
@@ -52,6 +52,16 @@ class ToxicParams:
 WINDOWS = 4096
 
 
+def _sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``words_of`` with runs of one repeated word as a single word: a line of
+    the same word over and over says no more than the word."""
+    offsets, codes, words = words_of(column)
+    new = np.diff(codes, prepend=-1) != 0
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    new[starts] = True
+    return np.concatenate([[0], np.cumsum(new)])[offsets], codes[new], words
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 0.5 * np.tanh(0.5 * x) + 0.5
 
@@ -170,7 +180,7 @@ class Network:
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Calibrated score of each whole text; one without words gets the score of silence."""
-        offsets, codes, words = words_of(column)
+        offsets, codes, words = _sequence(column)
         vectors = np.empty((len(words), self.params.word_dim + self.params.gram_dim), np.float32)
         for lo, block in word_blocks(words):
             vectors[lo:lo + len(block)] = self.inputs(block)[0]
@@ -268,7 +278,7 @@ def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams()
     rng = np.random.default_rng(params.seed + 1)
     y = np.array(labels, dtype=np.float32)
     column = pa.array(texts, pa.large_string())
-    offsets, codes, words = words_of(column)
+    offsets, codes, words = _sequence(column)
     vectors, *made = net.inputs(words)
     windows, text = net.windows(offsets, codes)
     first = np.flatnonzero(np.diff(text, prepend=-1))
