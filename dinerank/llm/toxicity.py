@@ -6,9 +6,10 @@ forwards and backwards, attention pools their states, and a logistic layer
 scores the window. A text is cut into overlapping windows that cover all of
 it; its score is that of its worst window, calibrated on held-back texts.
 
-Labels belong to texts, not windows, so training picks windows: first at
-random, then per text the window the network finds worst (which in a clean
-text is the hardest negative). Input projections depend only on the word, so
+Labels belong to texts, not windows, so training picks windows: first the one
+with the word that most sets toxic texts apart (the likelihood ratios also
+start one embedding dimension), then per text the window the network
+finds worst, which in a clean text is the hardest negative. Input projections depend only on the word, so
 a task computes them once per distinct word of a batch.
 """
 
@@ -30,7 +31,7 @@ from dinerank.session import Scratch
 @dataclass(frozen=True)
 class ToxicParams:
     sample_toxic: int = 1500  # labelled training texts of either kind
-    sample_clean: int = 5000
+    sample_clean: int = 4000
     sample_chars: int = 4000  # of a text used for training, from a hashed position
     window: int = 32  # words
     stride: int = 20
@@ -40,8 +41,10 @@ class ToxicParams:
     word_dim: int = 8
     gram_dim: int = 16
     hidden: int = 8
-    epochs: int = 8
-    blind_epochs: int = 2
+    epochs: int = 5
+    least_steps: int = 200  # more epochs where the sample is so small that these are not reached
+    blind_share: float = 0.25  # of the epochs that pick windows without asking the network
+    rescore_steps: int = 40  # steps after which the worst windows are looked up again
     batch: int = 64
     rate: float = 0.01
     row_rate: float = 10.0
@@ -287,20 +290,27 @@ def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams()
     optimiser = Optimiser(params)
     mine = np.flatnonzero(~held)
     vectors = np.concatenate([vectors, np.zeros((1, vectors.shape[1]), np.float32)])
-    for epoch in range(params.epochs):
-        # A random window of each text; later also the worst one of each.
-        chosen = first[mine] + (rng.random(len(mine)) * count[mine]).astype(np.int64)
-        if epoch >= params.blind_epochs:
-            worst = _worst(net.logits(windows, net.project(net.inputs(words)[0])), first, text)
-            clean = mine[y[mine] == 0]
-            chosen = np.concatenate([worst[mine], first[clean] + (rng.random(len(clean)) * count[clean]).astype(np.int64)])
-        chosen = rng.permutation(chosen)
+    signal = _word_signal(net, codes, offsets, y, mine, made)
+    net.refresh(vectors, np.arange(len(words)), made)
+    epochs = max(params.epochs, -(-params.least_steps * params.batch // max(1, len(mine))))
+    # Without the network: the window with the word of the strongest signal.
+    worst = _worst(np.append(signal, -np.inf)[windows].max(axis=1) + 1e-6 * rng.random(len(windows)), first, text)
+    since = 0
+    for epoch in range(epochs):
+        if epoch >= params.blind_share * epochs and since >= params.rescore_steps:
+            net.refresh(vectors, np.arange(len(words)), made)
+            worst, since = _worst(net.logits(windows, net.project(vectors[:-1])), first, text), 0
+        # The worst window of each text, and a random one of each clean text.
+        clean = mine[y[mine] == 0]
+        chosen = rng.permutation(np.concatenate([worst[mine], first[clean] + (rng.random(len(clean)) * count[clean]).astype(np.int64)]))
         for k, lo in enumerate(range(0, len(chosen), params.batch)):
-            optimiser.rate = params.rate * (1 - 0.9 * (epoch + k * params.batch / len(chosen)) / params.epochs)
+            optimiser.rate = params.rate * (1 - 0.9 * (epoch + k * params.batch / len(chosen)) / epochs)
             own = windows[chosen[lo:lo + params.batch]]
             net.refresh(vectors, np.unique(own[own >= 0]), made)
             net.step(own, y[text[chosen[lo:lo + params.batch]]], vectors, optimiser, made)
-    final = net.logits(windows, net.project(net.inputs(words)[0]))
+            since += 1
+    net.refresh(vectors, np.arange(len(words)), made)
+    final = net.logits(windows, net.project(vectors[:-1]))
     best = np.maximum.reduceat(final, first)
     rows = held if held.any() and len(set(y[held])) == 2 else np.ones(len(y), dtype=bool)
     share = float(y.mean())
@@ -309,6 +319,40 @@ def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams()
     return net
 
 
+#: Root of twice the log-likelihood ratio below which a feature counts as chance.
+CHANCE = 2.5
+
+
+def _word_signal(net: Network, codes: np.ndarray, offsets: np.ndarray, y: np.ndarray, mine: np.ndarray, made: tuple) -> np.ndarray:
+    """Start the first dimension of both embeddings from the signed likelihood
+    ratio between texts with and without the feature in toxic and clean texts
+    (training texts only); returns the sum of both parts per distinct word."""
+    whole, grams, at = made
+    toxic, total = y[mine].sum(), len(mine)
+
+    def ratio(feature_of_word: np.ndarray, word_of_entry: np.ndarray, buckets: int) -> np.ndarray:
+        seen = np.zeros((2, buckets))
+        entries_at = np.concatenate([[0], np.cumsum(np.bincount(word_of_entry, minlength=len(at) - 1))])
+        for t in mine:
+            own = np.unique(codes[offsets[t]:offsets[t + 1]])
+            if len(own):
+                features = np.unique(np.concatenate([feature_of_word[entries_at[w]:entries_at[w + 1]] for w in own]))
+                seen[int(y[t]), features] += 1
+        n1, n0, t1, t0 = seen[1], seen[0], max(toxic, 1), max(total - toxic, 1)
+        mean = (n1 + n0) / (t1 + t0)
+        g = sum(k * np.log(np.maximum(k, 1e-9) / np.maximum(m, 1e-9)) for k, m in (
+            (n1, t1 * mean), (n0, t0 * mean), (t1 - n1, t1 * (1 - mean)), (t0 - n0, t0 * (1 - mean))))
+        root = np.sqrt(np.maximum(2 * g, 0)) - CHANCE
+        return np.where((root > 0) & (n1 * t0 > n0 * t1), np.minimum(root, 8), 0).astype(np.float32)
+
+    words = np.arange(len(at) - 1)
+    by_word = ratio(whole, words, net.params.word_buckets)
+    by_gram = ratio(grams, np.repeat(words, np.diff(at)), net.params.gram_buckets)
+    net.p["word"][:, 0] += by_word / 4
+    net.p["gram"][:, 0] += by_gram
+    return by_word[whole] / 4 + np.add.reduceat(by_gram[grams], at[:-1]) / np.diff(at) if len(words) else np.zeros(0)
+
+
 def _worst(logits: np.ndarray, first: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Index of each text's highest window."""
     order = np.lexsort((logits, text))
@@ -321,11 +365,11 @@ def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     n1, n0 = (weight * y).sum(), (weight * (1 - y)).sum()
     target = np.where(y == 1, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     x = np.stack([z, np.ones_like(z)], axis=1)
-    for _ in range(50):
+    for _ in range(200):
         q = 1 / (1 + np.exp(-np.clip(a * z + b, -60, 60)))
-        grad = x.T @ (weight * (q - target)) + np.array([1e-3 * (a - 1), 0])
-        hess = (x * (weight * q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag([1e-3, 1e-6])
-        step = np.linalg.solve(hess, grad)
+        grad = x.T @ (weight * (q - target)) + np.array([1e-2 * (a - 1), 0])
+        hess = (x * (weight * q * (1 - q) + 1e-9)[:, None]).T @ x + np.diag([1e-2, 1e-6])
+        step = np.clip(np.linalg.solve(hess, grad), -1, 1)
         a, b = a - step[0], b - step[1]
         if abs(step).max() < 1e-8:
             break
@@ -376,7 +420,7 @@ def score_texts(docs: DataFrame, net: Network, threshold: float = 0.3, text_col:
     names = [c for c in keep or [] if c not in {score, predicted, *extra}]
     src = docs.select(*[docs[c] for c in names], *[c.alias(k) for k, c in extra.items()], docs[text_col].cast("string").alias("_text_"))
     fields = src.schema.fields[:-1]
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + f", `{score}` double, `{predicted}` int"
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in fields), f"`{score}` double", f"`{predicted}` int"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
