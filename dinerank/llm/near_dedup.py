@@ -11,7 +11,9 @@
    star, not all pairs) on the full shingle sets. Buckets whose members are
    not yet connected get new stars among the rest, and what then remains
    unconnected in a bucket is compared across its components, so no link
-   between different components is lost.
+   between different components is lost: pair by pair in small buckets; in
+   large ones block against block, where a task holds two blocks of
+   sets, intersects them as one matrix product and gives out links only.
 5. Components come from alternating stars over the confirmed links.
 """
 
@@ -32,6 +34,8 @@ from dinerank.llm.shingles import shingle_sets
 from dinerank.session import Scratch
 
 SPACE = 1 << 20
+#: Members up to which a bucket's open pairs are listed; and members per block beyond.
+LISTED, BLOCK = 32, 256
 #: Shingles per step of the signature minimum (times coordinates: memory).
 STEP = 1 << 15
 
@@ -166,12 +170,14 @@ def near_duplicates(docs: DataFrame, params: NearParams = NearParams(), id_col:
         if step < params.star_rounds:
             pairs = _star_pairs(placed, step, params.percent)
         else:
-            pairs = _cross_pairs(placed, params.percent)
+            placed = job.cut(_open(placed))
+            links = links.unionByName(job.cut(_block_links(placed.where(F.col("m") > LISTED), texts, params)))
+            pairs = _cross_pairs(placed.where(F.col("m") <= LISTED), params.percent)
         pairs = pairs.distinct()
         if seen is not None:
             pairs = pairs.join(seen, ["a", "b"], "left_anti")
         pairs = job.cut(pairs)
-        if pairs.isEmpty():
+        if pairs.isEmpty() and step < params.star_rounds:
             continue
         new = job.cut(confirm(pairs, texts, params))
         seen = pairs if seen is None else seen.unionByName(pairs)
@@ -200,12 +206,71 @@ def _star_pairs(placed: DataFrame, step: int, percent: int) -> DataFrame:
         F.col("rep").alias("a"), F.col("hub").alias("b"))
 
 
-def _cross_pairs(placed: DataFrame, percent: int) -> DataFrame:
-    """Members of different components in a bucket that still has several."""
-    open_ = placed.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
-        F.col("lo") != F.col("hi")).select("key")
-    left = placed.join(open_, "key")
+def _open(placed: DataFrame) -> DataFrame:
+    """The members of buckets that still have several components, and the size ``m``."""
+    several = placed.groupBy("key").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(
+        F.col("lo") != F.col("hi")).select("key", "m")
+    return placed.join(several, "key")
+
+
+def _cross_pairs(left: DataFrame, percent: int) -> DataFrame:
+    """Members of different components in a bucket (of at most LISTED)."""
     right = left.select("key", F.col("rep").alias("b"), F.col("n").alias("bn"), F.col("comp").alias("bc"))
     return left.join(right, "key").where(
         (F.col("rep") > F.col("b")) & (F.col("comp") != F.col("bc")) & _fits("n", "bn", percent)).select(
         F.col("rep").alias("a"), "b")
+
+
+def _block_links(members: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame:
+    """``a, b``: links between different components of large buckets. Members are
+    dealt into blocks; a group is two blocks of one bucket with their sets."""
+    reps = members.select(F.col("rep").alias("id")).distinct()
+    own = listed(texts, reps, ["id"], "_listed").where("_listed").drop("_listed")
+    words, percent = params.words, params.percent
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "text"):
+            found = shingle_sets(strings(part.column("text")), words)
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+            flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([part.column("id"), pa.array([len(x) for x in found], pa.int64()),
+                                              pa.ListArray.from_arrays(offsets, flat)], names=["sid", "sn", "set"])
+
+    full = map_arrow(own, sets, "sid long, sn long, set array<long>")
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    block = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    dealt = members.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "key", "rep", "n", "comp", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    # Rows of one id with several texts: the set of the class's size.
+    held = dealt.join(full, (F.col("rep") == F.col("sid")) & (F.col("n") == F.col("sn")))
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        comp, rep = group.column("comp").to_numpy(), group.column("rep").to_numpy()
+        side = group.column("block").to_numpy() == group.column("i").to_numpy()[:1]
+        same = bool(side.all()) and group.column("i")[0] == group.column("j")[0]
+        rows_a, rows_b = np.flatnonzero(side), (np.flatnonzero(side) if same else np.flatnonzero(~side))
+        flat = group.column("set").combine_chunks()
+        offsets = flat.offsets.to_numpy()
+        size = np.diff(offsets)
+        values, code = np.unique(flat.values.to_numpy()[offsets[0]:offsets[-1]], return_inverse=True)
+        owner = np.repeat(np.arange(len(size)), size)
+        common = np.zeros((len(rows_a), len(rows_b)))
+        place = np.full((2, len(size)), -1)
+        place[0, rows_a], place[1, rows_b] = np.arange(len(rows_a)), np.arange(len(rows_b))
+        for lo in range(0, len(values), 4096):  # shingles of both blocks, some thousands at a time
+            inside = (code >= lo) & (code < lo + 4096)
+            hot = []
+            for k, rows in enumerate((rows_a, rows_b)):
+                m = np.zeros((len(rows), 4096), np.float32)
+                at = place[k][owner[inside]]
+                m[at[at >= 0], code[inside][at >= 0] - lo] = 1
+                hot.append(m)
+            common += hot[0] @ hot[1].T
+        union = size[rows_a][:, None] + size[rows_b][None, :] - common
+        link = (100 * common >= percent * union) & (comp[rows_a][:, None] != comp[rows_b][None, :])
+        x, y = np.nonzero(link)
+        a, b = rep[rows_a[x]], rep[rows_b[y]]
+        return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
+
+    return held.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()

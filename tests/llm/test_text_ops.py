@@ -149,6 +149,16 @@ def test_components_match_brute_force(make_docs):
     check_near(docs, near_dedup.NearParams(percent=80, bands=48, rows=5))
 
 
+def test_open_buckets_compared_in_blocks(make_docs, monkeypatch):
+    monkeypatch.setattr(near_dedup, "LISTED", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 5)
+    texts = [t for s in range(3) for t in variants(s, 30, 14)]
+    random.Random(4).shuffle(texts)
+    docs = make_docs([(k * 5 % 499, t, "en") for k, t in enumerate(texts)])
+    check_near(docs, near_dedup.NearParams(star_rounds=0))
+    check_near(docs, near_dedup.NearParams(percent=80, bands=48, rows=5))
+
+
 def test_components_of_odd_rows(odd_docs, no_docs):
     check_near(odd_docs, near_dedup.NearParams())
     assert near_dedup.near_duplicates(no_docs).collect() == []
