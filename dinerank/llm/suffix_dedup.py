@@ -15,7 +15,10 @@ rank; Spark sorts and counts names, and only positions with a repeated one go on
 3. For contexts that occur once under a repeated anchor (the borders of
    repeated passages), each window start p is named by the pair of names at
    p and at a growing offset up to the full length, and counted. One
-   occurrence stands for all those of a repeated context.
+   occurrence stands for all those of a repeated context. Equal windows have
+   the same anchor name, so contexts are dealt by it and windows are named
+   and counted where they arrive; only an anchor with more than ``HOT``
+   contexts has its windows dealt one by one, by their own names.
 
 Counts are combined before they are shuffled and joined back, so a string
 that a third of all documents hold is never gathered in one task.
@@ -40,16 +43,21 @@ from dinerank.session import Scratch
 BASE = 64
 #: Window starts worked on at once in a task; a longer text is read in overlapping parts.
 STEP = 1 << 20
+#: Contexts of one anchor name up to which a task holds them together.
+HOT = 1000
+#: Bytes of contexts named at once in a task (whole anchors; at most HOT contexts more).
+GROUPED = 1 << 20
 _BYTE = np.random.default_rng(77001).integers(1, 1 << 63, size=256, dtype=np.uint64)
 _FACTOR = 0x9E3779B97F4A7C15
 _NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
 @cache
-def _powers() -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the factor and of its inverse modulo 2**64."""
+def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first 2**bits powers of the factor and of its inverse modulo 2**64."""
+
     def powers(factor: int) -> np.ndarray:
-        out = np.full(2 * STEP + 1, factor, dtype=np.uint64)
+        out = np.full(1 << bits, factor, dtype=np.uint64)
         out[0] = 1
         return np.cumprod(out, dtype=np.uint64)
 
@@ -57,10 +65,10 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 class Names:
-    """Fingerprints of the substrings of at most 2 * STEP bytes."""
+    """Fingerprints of the substrings of a byte array."""
 
     def __init__(self, data: np.ndarray):
-        up, self.down = _powers()
+        up, self.down = _powers(max(21, int(len(data)).bit_length()))
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
         np.cumsum(_BYTE[data] * up[: len(data)], out=self.sums[1:])
 
@@ -151,28 +159,94 @@ def named_anchors(keyed: DataFrame, length: int) -> DataFrame:
     return map_arrow(keyed, emit, "k long, context long, id long, v int, a int, back int, span int")
 
 
-def named_windows(ranges: DataFrame, length: int) -> DataFrame:
-    """``w, x, id, v, p`` per window start of ``ranges(id, v, text, ranges)``: the
-    96-bit name is that of the pair of half names at p and p + length // 2."""
-    half = length // 2
+def context_bytes(both: DataFrame, length: int) -> DataFrame:
+    """``k, id, v, lo, open, hot, data``: the bytes of each listed context."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
-            for r, text in enumerate(_bytes(part.column("text"))):
-                starts = np.unique(np.concatenate([np.arange(x["lo"], x["hi"] + 1) for x in part.column("ranges")[r].as_py()]))
-                for block in np.split(starts, np.flatnonzero(np.diff(starts // STEP)) + 1):
-                    base = int(block[0])
-                    names = Names(np.frombuffer(text, dtype=np.uint8)[base:int(block[-1]) + length])
-                    p = block - base
-                    first, second = names.of(p, p + half), names.of(p + half, p + length)
-                    w, x = mix64(first ^ mix64(second)), mix64(second + mix64(first + np.uint64(9))) >> np.uint64(32)
-                    n = len(p)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(w.view(np.int64)), pa.array(x.astype(np.uint32).view(np.int32)),
-                         part.column("id").take(pa.array(np.full(n, r))), part.column("v").take(pa.array(np.full(n, r))),
-                         pa.array(block.astype(np.int32))], names=["w", "x", "id", "v", "p"])
-
-    return map_arrow(ranges, emit, "w long, x int, id long, v int, p int")
+            row, keep, data = [], [], []
+            for r, (text, own) in enumerate(zip(_bytes(part.column("text")), part.column("ranges").to_pylist(), strict=True)):
+                for x in own:
+                    row.append(r), keep.append(x), data.append(text[x["lo"]:x["lo"] + x["span"] + length])
+            take = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x["k"] for x in keep], pa.int64()), part.column("id").take(take), part.column("v").take(take),
+                 pa.array([x["lo"] for x in keep], pa.int32()), pa.array([x["open"] for x in keep], pa.bool_()),
+                 pa.array([x["hot"] for x in keep], pa.bool_()), pa.array(data, pa.binary())],
+                names=["k", "id", "v", "lo", "open", "hot", "data"])
+
+    return map_arrow(both, emit, "k long, id long, v int, lo int, open boolean, hot boolean, data binary")
+
+
+def _named(contexts: list[bytes], length: int) -> tuple[np.ndarray, ...]:
+    """Of all windows of the contexts: context, start in it, and two names, each
+    that of the pair of half names at the start and at half the length."""
+    half = length // 2
+    size = np.array([len(x) for x in contexts], dtype=np.int64)
+    names = Names(np.frombuffer(b"".join(contexts), dtype=np.uint8))
+    count = np.maximum(size - length + 1, 0)
+    owner = np.repeat(np.arange(len(size)), count)
+    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    p = np.repeat(np.cumsum(size) - size, count) + start
+    first, second = names.of(p, p + half), names.of(p + half, p + length)
+    return owner, start, mix64(first ^ mix64(second)), mix64(second + mix64(first + np.uint64(9)))
+
+
+def _repeated_runs(part: pa.RecordBatch, length: int) -> pa.RecordBatch:
+    """Spans of the open contexts' windows that occur more than once in ``part``."""
+    owner, start, w, x = _named(part.column("data").to_pylist(), length)
+    order = np.lexsort((x, w))
+    same = (np.diff(w[order]) == 0) & (np.diff(x[order]) == 0) if len(order) else np.zeros(0, bool)
+    twice = np.zeros(len(order), bool)
+    twice[order[1:]] |= same
+    twice[order[:-1]] |= same
+    twice &= part.column("open").to_numpy(zero_copy_only=False)[owner]
+    owner, start = owner[twice], start[twice]
+    new = np.flatnonzero((np.diff(owner, prepend=-1) != 0) | (np.diff(start, prepend=-2) != 1))
+    last = np.append(new[1:], len(owner)) - 1 if len(new) else new
+    take = pa.array(owner[new])
+    lo = part.column("lo").to_numpy()[owner[new]]
+    return pa.RecordBatch.from_arrays(
+        [part.column("id").take(take), part.column("v").take(take), pa.array((lo + start[new]).astype(np.int32)),
+         pa.array((lo + start[last] + length).astype(np.int32))], names=["id", "v", "lo", "hi"])
+
+
+def grouped_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """``id, v, lo, hi``: repeated windows of contexts that arrive sorted by ``k``."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for batch in batches:
+            for part in slices(iter([batch]), "data", GROUPED // 4):
+                held.append(part)
+                size += part.column("data").nbytes
+                if size >= GROUPED:
+                    table = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                    k = table.column("k").to_numpy()
+                    cut = int(np.searchsorted(k, k[-1], side="left"))  # the last anchor may go on
+                    if cut:
+                        yield _repeated_runs(table.slice(0, cut), length)
+                    held, size = [table.slice(cut)], table.slice(cut).column("data").nbytes
+        if held:
+            yield _repeated_runs(pa.Table.from_batches(held).combine_chunks().to_batches()[0], length)
+
+    return map_arrow(pieces.select("k", "id", "v", "lo", "open", "data"), emit, "id long, v int, lo int, hi int")
+
+
+def named_windows(pieces: DataFrame, length: int) -> DataFrame:
+    """``w, x, id, v, p, open`` per window start of the contexts."""
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "data", GROUPED // 8):
+            owner, start, w, x = _named(part.column("data").to_pylist(), length)
+            take = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(w.view(np.int64)), pa.array((x >> np.uint64(32)).astype(np.uint32).view(np.int32)), part.column("id").take(take),
+                 part.column("v").take(take), pa.array((part.column("lo").to_numpy()[owner] + start).astype(np.int32)),
+                 part.column("open").take(take)], names=["w", "x", "id", "v", "p", "open"])
+
+    return map_arrow(pieces.select("id", "v", "lo", "open", "data"), emit, "w long, x int, id long, v int, p int, open boolean")
 
 
 def _same(a: DataFrame, b: DataFrame):
@@ -197,18 +271,21 @@ def repeated_spans(docs: DataFrame, length: int = 200, id_col: str = "doc_id", t
     settled = kept.join(contexts.where("n > 1").select("k", "context"), ["k", "context"]).select(
         "id", "v", low.alias("lo"), (low + F.col("span") + length).alias("hi"))
     # Round 3: windows, where an anchor has several contexts.
-    several = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("k")
-    open_ = contexts.join(several, "k").select("one.*", (F.col("n") == 1).alias("open"))
-    open_ = job.cut(open_.select("id", "v", low.cast("int").alias("lo"), (low + F.col("span")).cast("int").alias("hi"), "open"))
-    ranges = open_.groupBy("id", "v").agg(F.collect_list(F.struct("lo", "hi")).alias("ranges"))
+    several = contexts.groupBy("k").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    open_ = job.cut(contexts.join(several, "k").select(
+        "k", "one.id", "one.v", (F.col("one.a") - F.col("one.back")).alias("lo"), F.col("one.span").alias("span"),
+        (F.col("n") == 1).alias("open"), (F.col("c") > HOT).alias("hot")))
+    ranges = open_.groupBy("id", "v").agg(F.collect_list(F.struct("k", "lo", "span", "open", "hot")).alias("ranges"))
     texts = listed(keyed, open_, ["id", "v"], "_listed").where("_listed").drop("_listed")
     both = texts.join(ranges, _same(texts, ranges)).select(texts["id"], texts["v"], "text", "ranges").dropDuplicates(["id", "v"])
-    windows = job.cut(named_windows(both, length))
+    pieces = job.cut(context_bytes(both, length))
+    near = grouped_windows(pieces.where("not hot").repartition("k").sortWithinPartitions("k"), length)
+    windows = job.cut(named_windows(pieces.where("hot"), length))
     twice = windows.groupBy("w", "x").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w", "x")
-    again = windows.join(twice, ["w", "x"]).select("id", "v", F.col("p").alias("lo"), (F.col("p") + length).alias("hi"))
+    again = windows.where("open").join(twice, ["w", "x"]).select("id", "v", F.col("p").alias("lo"), (F.col("p") + length).alias("hi"))
     # Starts within one block of BASE bytes overlap, so a block is one span.
     runs = again.groupBy("id", "v", F.floor(F.col("lo") / BASE).alias("b")).agg(
-        F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("id", "v", "lo", "hi")
+        F.min("lo").alias("lo"), F.max("hi").alias("hi")).select("id", "v", "lo", "hi").unionByName(near)
     return job.cut(settled.unionByName(runs).groupBy("id", "v").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
 
 

@@ -43,7 +43,7 @@ def check_removed(docs, length):
     assert got == want
 
 
-def test_removed_bytes_match_brute_force(make_docs):
+def test_removed_bytes_match_brute_force(make_docs, monkeypatch):
     r = random.Random(4)
     shared = [prose(100 + k, 60) for k in range(4)]
     rows = []
@@ -57,11 +57,11 @@ def test_removed_bytes_match_brute_force(make_docs):
         rows.append((i, " ".join(parts), "en"))
     rows += [(100, "ab" * 200, "en"), (101, "x" * 199, "en"), (102, "x" * 200, "en"), (103, "é" * 120, "en")]
     check_removed(make_docs(rows), 200)
+    monkeypatch.setattr(suffix_dedup, "HOT", 1)  # all contexts by single windows
     check_removed(make_docs(rows), 90)
 
 
-def test_removed_bytes_of_odd_rows(spark, odd_docs, no_docs, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "STEP", suffix_dedup.STEP)
+def test_removed_bytes_of_odd_rows(spark, odd_docs, no_docs):
     small = odd_docs.where("doc_id is null or doc_id <> 7")
     check_removed(small, 200)
     assert suffix_dedup.remove_repeats(no_docs).collect() == []
@@ -71,6 +71,31 @@ def test_removed_bytes_of_odd_rows(spark, odd_docs, no_docs, monkeypatch):
         suffix_dedup.remove_repeats(odd_docs, 50)
 
 
+def test_grouped_windows_across_batches(monkeypatch):
+    """Contexts sorted by name, cut into many batches: same runs as at once."""
+    import pyarrow as pa
+
+    r = random.Random(5)
+    rows = sorted((r.randint(0, 20), i) for i in range(120))
+    shared = [bytes(r.choices(b"abc", k=230)) for _ in range(21)]
+    data = [bytes(r.choices(b"xyz", k=r.randint(0, 60))) + shared[k] for k, _ in rows]
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([k for k, _ in rows], pa.int64()), pa.array([i for _, i in rows], pa.int64()), pa.array([0] * 120, pa.int32()),
+         pa.array([10] * 120, pa.int32()), pa.array([True] * 120), pa.array(data, pa.binary())], names=["k", "id", "v", "lo", "open", "data"])
+    caught = {}
+    monkeypatch.setattr(suffix_dedup, "map_arrow", lambda df, fn, ddl: caught.setdefault("fn", fn))
+
+    class Frame:
+        def select(self, *_):
+            return self
+
+    suffix_dedup.grouped_windows(Frame(), 200)
+    whole = suffix_dedup._repeated_runs(batch, 200).to_pylist()
+    monkeypatch.setattr(suffix_dedup, "GROUPED", 2000)
+    cut = [x for b in caught["fn"](iter([batch.slice(i, 7) for i in range(0, 120, 7)])) for x in b.to_pylist()]
+    assert cut == whole and len(whole) > 20
+
+
 def test_windows_of_long_texts_are_cut_into_parts():
     texts = [bytes(random.Random(i).choices(b"abcd", k=n)) for i, n in enumerate((10, 700, 0, 5000, 300))]
     old = suffix_dedup.STEP
