@@ -46,7 +46,7 @@ def sequence_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hash of the ``size`` words from each position on; positions too close
     to the end of the array give the hash of what is there."""
     out = np.full(len(words), np.uint64(size))
-    for i in range(size):
+    for i in range(min(size, len(words))):
         out[: len(words) - i] += mix64(words[i:] ^ _PLACE[i]) * _PLACE[i]
     return mix64(out)
 

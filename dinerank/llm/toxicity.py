@@ -31,8 +31,8 @@ from dinerank.session import Scratch
 @dataclass(frozen=True)
 class ToxicParams:
     sample_toxic: int = 1500  # labelled training texts of either kind
-    sample_clean: int = 4000
-    sample_chars: int = 4000  # of a text used for training, from a hashed position
+    sample_clean: int = 3500
+    sample_chars: int = 3000  # of a text used for training, from a hashed position
     window: int = 32  # words
     stride: int = 20
     word_buckets: int = 1 << 14
@@ -93,7 +93,9 @@ class Network:
 
     def inputs(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(word vectors, word bucket, n-gram buckets, their offsets) of distinct words."""
-        grams, at = ngrams_of(words, self.params.sizes, self.params.gram_buckets)
+        parts = [ngrams_of(block, self.params.sizes, self.params.gram_buckets) for _, block in word_blocks(words)]
+        grams = np.concatenate([g for g, _ in parts]) if parts else np.zeros(0, np.int32)
+        at = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(o) for _, o in parts]))]) if parts else np.zeros(1, np.int64)
         whole = grams[at[1:] - 1] % self.params.word_buckets
         vectors = np.empty((len(words), self.params.word_dim + self.params.gram_dim), np.float32)
         self.refresh(vectors, np.arange(len(words)), (whole, grams, at))
@@ -385,11 +387,11 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, params: T
         F.max("_y").cast("int").alias("y"))
     own = docs.where(learn).select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).where("length(_t) > 0")
     key = F.xxhash64("_t", "_d")
+    hashed = own.select("_d", key.alias("k"))  # before the join, so that no text is shuffled
     start = F.pmod(key, F.greatest(F.length("_t") - params.sample_chars, F.lit(0)) + 1).cast("int") + 1
     job = Scratch(docs.sparkSession)
     # The labelled ids meet the texts' hashes first; only drawn rows carry text.
-    drawn = own.join(marked, F.col("_d") == F.col("_l")).select(key.alias("k"), "_d", "y")
-    drawn = job.cut(drawn)
+    drawn = job.cut(hashed.join(marked, F.col("_d") == F.col("_l")).select("k", "_d", "y"))
     n = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     for y, most in ((1, params.sample_toxic), (0, params.sample_clean)):

@@ -32,7 +32,7 @@ def odd_docs(make_docs):
     body = prose(1, 120)
     rows = [
         (1, body, "en"), (2, body, "en"), (2, body, "en"), (3, body + " extra tail", "de"), (4, None, "en"), (5, "", None),
-        (6, " \n\t ", "en"), (None, body, "en"), (None, None, None), (7, prose(2, 60_000), "en"), (8, "one two", "de"),
+        (6, " \n\t ", "en"), (None, body, "en"), (None, None, None), (7, prose(2, 60_000), "en"), (8, "one two", "de"), (12, "a b c", "de"), (13, "a b c d", "de"), (14, "x", None),
         (9, "one two", "de"), (10, "Zoë £ – naïve 日本語 " + prose(3, 40), "fr"), (11, body[:300], "en"),
     ]
     return make_docs(rows)
