@@ -144,13 +144,13 @@ def publish(df: DataFrame, base: str, version: str | None = None, num_files: int
     version = version or datetime.now(timezone.utc).strftime("v%Y%m%dT%H%M%S%f") + "-" + uuid.uuid4().hex[:6]
     target = f"{base.rstrip('/')}/{version}"
     obs = Observation("publish")
-    observed = df.observe(obs, F.count(F.lit(1)).alias("rows"))
     order = [c for c in ("budget_band", "location", "id") if c in df.columns]
     if num_files:
-        observed = observed.repartitionByRange(num_files, *order) if order else observed.repartition(num_files)
+        df = df.repartitionByRange(num_files, *order) if order else df.repartition(num_files)
     if order:
-        observed = observed.sortWithinPartitions(*order)
-    observed.write.mode("overwrite").parquet(target)
+        df = df.sortWithinPartitions(*order)
+    # Counted last: dealing by ranges reads its input once more to sample it.
+    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(target)
     rows = int(obs.get["rows"])
     if rows == 0:
         fs, p = _fs(spark, target)
