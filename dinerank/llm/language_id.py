@@ -16,10 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dinerank.llm.common import map_arrow, segment_sums, slices, strings
+from dinerank.llm.common import map_arrow, scratch, segment_sums, slices, strings
 from dinerank.llm.subwords import ngrams_of, word_blocks, words_of
 
 UNDETERMINED = "und"
@@ -27,7 +27,8 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    sample_texts: int = 2500  # training texts, over all languages
+    sample_texts: int = 2500  # training texts drawn over all languages together
+    least_texts: int = 100  # and at least so many of every language, or all it has
     sample_chars: int = 1500  # of a text used for training, from a hashed position
     sizes: tuple[int, ...] = (2, 3, 4, 5)
     buckets: int = 1 << 15
@@ -37,6 +38,7 @@ class LanguageParams:
     rate: float = 0.5
     embedding_rate: float = 8.0  # of an embedding row, relative to rate: a row sees a fraction of the examples
     snippet_words: int = 25
+    least_snippets: int = 400  # of a language in an epoch: fewer are repeated
     seed: int = 7
 
 
@@ -75,12 +77,19 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 def fit(texts: list[str], labels: list[str], params: LanguageParams = LanguageParams()) -> LanguageModel:
     """Train on (text, language) pairs; a fifth of the texts sets the
-    temperature. No pairs give a model without languages, which answers ``und``."""
+    temperature, never all of a language. No pairs give a model without
+    languages, which answers ``und``."""
     rng = np.random.default_rng(params.seed)
     languages = sorted(set(labels))
     if not languages:
         return LanguageModel([], np.zeros((params.buckets, 0)), np.zeros(0), 1.0, params)
     held = rng.random(len(texts)) < 0.2 if len(texts) >= 20 else np.zeros(len(texts), dtype=bool)
+    own_texts: dict[str, list[int]] = {}
+    for i, label in enumerate(labels):
+        own_texts.setdefault(label, []).append(i)
+    for own in own_texts.values():
+        if held[own].all():
+            held[own[0]] = False
     grams_of, label_of = [], []
     for text, label, out in zip(texts, labels, held, strict=True):
         offsets, codes, words = words_of(pa.array([text], pa.large_string()))
@@ -95,10 +104,14 @@ def fit(texts: list[str], labels: list[str], params: LanguageParams = LanguagePa
     out = np.zeros((params.dim, len(languages)), dtype=np.float32)
     bias = np.zeros(len(languages), dtype=np.float32)
     y = np.array(label_of, dtype=np.int64)
-    steps = params.epochs * max(1, -(-len(y) // params.batch))
+    # A language of few texts would hardly move the weights: its snippets come round more often.
+    have = np.bincount(y, minlength=len(languages))
+    again = [np.resize(np.flatnonzero(y == k), params.least_snippets - n) for k, n in enumerate(have) if 0 < n < params.least_snippets]
+    examples = np.concatenate([np.arange(len(y)), *again])
+    steps = params.epochs * max(1, -(-len(examples) // params.batch))
     done = 0
     for _ in range(params.epochs):
-        order = rng.permutation(len(y))
+        order = rng.permutation(examples)
         for lo in range(0, len(order), params.batch):
             rate = params.rate * (1 - done / steps)
             done += 1
@@ -123,15 +136,25 @@ def fit(texts: list[str], labels: list[str], params: LanguageParams = LanguagePa
 
 
 def training_sample(docs: DataFrame, learn: Column, params: LanguageParams, text_col: str = "text", lang_col: str = "lang") -> list:
-    """At most ``sample_texts`` labelled texts in hash order, of each at most
-    ``sample_chars`` characters from a hashed position."""
+    """Labelled texts in hash order, of each at most ``sample_chars`` characters
+    from a hashed position: the ``sample_texts`` of least hash over all
+    languages, and of every language the ``least_texts`` of least hash (all of
+    them where it has fewer). At most sample_texts + least_texts x languages."""
     text, lang = F.col(text_col), F.col(lang_col)
     key = F.xxhash64(text, lang)
     start = F.pmod(key, F.greatest(F.length(text) - params.sample_chars, F.lit(0)) + 1).cast("int") + 1
     usable = docs.where(learn & lang.isNotNull() & text.rlike(r"\p{L}"))
     # The hashes are drawn first, so that only drawn rows bring their text along.
-    keys = usable.select(key.alias("_k")).distinct().orderBy("_k").limit(params.sample_texts)
-    return (usable.join(F.broadcast(keys), key == F.col("_k"))
+    keys = scratch(docs).cut(usable.select(lang.alias("_l"), key.alias("_k")).distinct())
+    # Of a large language only the start of its hash order is ranked: a share of
+    # the hash range that holds eight times the texts asked for on average.
+    counts = keys.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
+    share = F.least(F.lit(8.0 * params.least_texts) / F.col("_n"), F.lit(1.0))
+    near = keys.join(F.broadcast(counts), "_l").where(F.col("_k") / 2.0**64 + 0.5 <= share)
+    rank = F.row_number().over(Window.partitionBy("_l").orderBy("_k"))
+    each = near.withColumn("_r", rank).where(F.col("_r") <= params.least_texts).select("_k")
+    drawn = keys.select("_k").orderBy("_k").limit(params.sample_texts).unionByName(each).distinct()
+    return (usable.join(F.broadcast(drawn), key == F.col("_k"))
             .select("_k", F.substring(text, start, F.lit(params.sample_chars)).alias("text"), lang.alias("lang"))
             .dropDuplicates(["_k"]).orderBy("_k").collect())
 
