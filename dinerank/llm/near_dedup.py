@@ -38,6 +38,8 @@ SPACE = 1 << 20
 LISTED, BLOCK = 32, 256
 #: Shingles per step of the signature minimum (times coordinates: memory).
 STEP = 1 << 15
+#: Bytes of text whose sets a task holds at once.
+SLICE = 2 << 20
 
 @dataclass(frozen=True)
 class NearParams:
@@ -83,7 +85,7 @@ def sketches(docs: DataFrame, params: NearParams, id_col: str, text_col: str) ->
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salt = mix64(np.arange(1, bands + 1, dtype=np.uint64))
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", SLICE):
             sets = shingle_sets(strings(part.column("_text")), params.words)
             sig = signatures(sets, rows * bands, params.seed).astype(np.uint64).reshape(len(sets), bands, rows)
             key = np.broadcast_to(salt, (len(sets), bands)).copy()
@@ -103,7 +105,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame
     """The rows of ``pairs(a, b)`` whose full shingle sets reach the similarity.
 
     ``b`` may be a hub of many pairs: its text is copied to as many salts as
-    it has 64s of pairs, and each pair takes one.
+    it has 64s of pairs, and each pair takes one. An id with several texts
+    gives a row for each of them; any of them may reach the similarity.
     """
     per_hub = pairs.groupBy("b").agg((F.floor((F.count(F.lit(1)) - 1) / 64) + 1).cast("int").alias("salts"))
     wanted = pairs.select(F.col("a").alias("id")).unionByName(per_hub.select(F.col("b").alias("id")))
@@ -116,14 +119,17 @@ def confirm(pairs: DataFrame, texts: DataFrame, params: NearParams) -> DataFrame
     words, percent = params.words, params.percent
 
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, hub_set = None, None
-        for part in slices(batches, "a_text"):
+        for part in slices(batches, "a_text", SLICE):
             a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
             sets, keep = shingle_sets(strings(part.column("a_text")), words), []
-            other = strings(part.column("b_text"))
+            other = strings(part.column("b_text")).dictionary_encode()
+            hub, hub_sets, text_of = None, {}, other.indices.to_pylist()
             for i, key in enumerate(b):
                 if key != hub:
-                    hub, hub_set = key, shingle_sets(other.slice(i, 1), words)[0]
+                    hub, hub_sets = key, {}
+                if (code := text_of[i]) not in hub_sets:
+                    hub_sets[code] = shingle_sets(other.dictionary.slice(code, 1), words)[0]
+                hub_set = hub_sets[code]
                 common = len(np.intersect1d(sets[i], hub_set, assume_unique=True))
                 union = len(sets[i]) + len(hub_set) - common
                 keep.append(bool(union) and 100 * common >= percent * union)
@@ -229,7 +235,7 @@ def _block_links(members: DataFrame, texts: DataFrame, params: NearParams) -> Da
     words, percent = params.words, params.percent
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE):
             found = shingle_sets(strings(part.column("text")), words)
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
             flat = np.concatenate(found).view(np.int64) if found else np.zeros(0, np.int64)

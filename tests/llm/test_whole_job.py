@@ -7,7 +7,7 @@ import pyarrow as pa
 from llm_helpers import make_docs, no_docs, odd_docs, prose  # noqa: F401
 from pyspark.sql import functions as F
 
-from dinerank.llm import language_id
+from dinerank.llm import language_id, near_dedup
 
 
 def test_a_language_of_one_row_in_five_thousand_is_learned(make_docs):
@@ -49,3 +49,20 @@ def test_a_fifth_held_back_is_never_a_whole_language():
         model = language_id.fit(texts, labels, language_id.LanguageParams(seed=seed))
         best, _ = model.predict(pa.array(["zyzy yyzz zzzz"], pa.large_string()))
         assert model.languages[best[0]] == "zz"
+
+
+def test_each_text_of_a_repeated_id_is_compared(spark, make_docs):
+    a, b = prose(1, 120), prose(2, 120)
+    rows = [(1, a), (1, b), (2, b + " tail"), (3, a + " tail"), (4, prose(3, 120))]
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the texts of an id meet in one task
+    try:
+        for order in (rows, rows[::-1]):
+            docs = make_docs([(i, t, "en") for i, t in order])
+            pairs = spark.createDataFrame([(2, 1), (3, 1), (4, 1)], "a long, b long")
+            texts = docs.select(F.col("doc_id").alias("id"), "text")
+            assert {tuple(x) for x in near_dedup.confirm(pairs, texts, near_dedup.NearParams()).collect()} == {(2, 1), (3, 1)}
+            got = {tuple(x) for x in near_dedup.near_duplicates(docs).select("doc_id", "component_id", "kept").collect()}
+            assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
