@@ -1,10 +1,9 @@
-"""Removal of byte strings that occur more than once, by prefix doubling.
+"""Removal of byte strings that occur more than once, by anchors and fingerprints.
 
-Prefix doubling names the strings of growing length that start at each
-position, equal strings equally, and drops positions once their name is
-unique. Here names are 64-bit (and at last 96-bit) fingerprints, so a name of
-a doubled length is the pair of two names at an offset and needs no global
-rank; Spark sorts and counts names, and only positions with a repeated one go on.
+This takes the place of prefix doubling: no round sorts position-rank pairs,
+no offset grows and nothing is ranked again. Names are 64-bit (and at last
+96-bit) fingerprints, equal strings have equal names; Spark counts names, and
+only positions with a repeated one go on.
 
 1. Every window of ``length`` bytes has an anchor: of the ``BASE``-byte strings
    inside it, the one with the least name. Equal windows have the same anchor at the same
@@ -13,8 +12,8 @@ rank; Spark sorts and counts names, and only positions with a repeated one go on
 2. The name is extended to the anchor's context, the bytes of all its windows.
    A repeated context settles all its windows at once.
 3. For contexts that occur once under a repeated anchor (the borders of
-   repeated passages), each window start p is named by the pair of names at
-   p and at a growing offset up to the full length, and counted. One
+   repeated passages), each window start p is named once, by the pair of
+   fingerprints of its two halves (at p and at p + length // 2), and counted. One
    occurrence stands for all those of a repeated context. Equal windows have
    the same anchor name, so contexts are dealt by it and windows are named
    and counted where they arrive; only an anchor with more than ``HOT``
