@@ -6,7 +6,7 @@ next one reads it; all but the last return the columns of ``documents``.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -31,14 +31,31 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the least id of each group of near duplicates. Rows with
-    equal ids are one document; rows with a null id stay."""
-    groups = near_dedup.near_duplicates(docs, near_dedup.NearParams(percent=80, bands=48, rows=5))
-    gone = Scratch(spark).cut(groups.where(~F.col("kept")).select("doc_id").distinct())
-    marked = listed(docs, gone, ["doc_id"], "_listed")
-    doubtful = marked.where("_listed").drop("_listed")
-    return marked.where(~F.col("_listed")).drop("_listed").unionByName(
-        doubtful.join(gone, doubtful["doc_id"].eqNullSafe(gone["doc_id"]), "left_anti"))
+    """One row of each group of near duplicates: of the texts linked, the one
+    with the least id (null ids last, then by the text's hash), and one row of it.
+
+    Texts decide, not ids: rows of one id with different texts are documents of
+    their own, repeated rows and equal texts with a null id are copies. Rows
+    whose text is null or has no word are in no group and all stay.
+    """
+    job, names = Scratch(spark), docs.columns
+    worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    own = docs.where(worded).withColumn("_h", F.xxhash64("text"))
+    # One row per text. Only texts met twice are ranked, and each task hands on its first row of a text.
+    twice = job.cut(own.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
+    marked = listed(own, twice, ["_h"], "_listed")
+    rank = F.row_number().over(Window.partitionBy("_h", "text").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*names)))
+    first = marked.where("_listed").withColumn("_r", rank).where("_r = 1").drop("_r")
+    one = job.cut(marked.where(~F.col("_listed")).unionByName(first).drop("_listed"))
+    groups = near_dedup.near_duplicates(one, near_dedup.NearParams(percent=80, bands=48, rows=5), id_col="_h")
+    groups = job.cut(groups.select("_h", "component_id").distinct())
+    linked = groups.join(one.select("_h", "doc_id"), "_h")
+    least = linked.groupBy("component_id").agg(
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("_least"))
+    gone = job.cut(groups.select("_h").join(least.select(F.col("_least._h").alias("_h")), "_h", "left_anti"))
+    marked = listed(one, gone, ["_h"], "_listed")
+    left = marked.where(~F.col("_listed")).unionByName(marked.where("_listed").join(gone, "_h", "left_anti").select(*marked.columns))
+    return left.select(*names).unionByName(docs.where(~worded))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -66,3 +66,23 @@ def test_each_text_of_a_repeated_id_is_compared(spark, make_docs):
             assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_one_row_of_each_group_of_near_duplicates_stays(spark, make_docs, no_docs):
+    import corpus_pipeline
+
+    a, b, c, d = (prose(k, 120) for k in (21, 22, 23, 24))
+    rows = [(1, a), (2, a + " tail"), (2, b), (3, c), (3, c), (3, c + " tail"), (None, d), (None, d), (None, d + " tail"), (None, c),
+            (4, "two words"), (4, "two words"), (5, None), (5, None), (None, ""), (None, ""), (6, " ")]
+    for order in (rows, rows[::-1]):
+        got = corpus_pipeline.drop_near_duplicates(spark, make_docs([(i, t, "en") for i, t in order]), "")
+        assert got.columns == make_docs([]).columns
+        got = [(r["doc_id"], r["text"]) for r in got.collect()]
+        unique = [x for x in got if x[1] and x[1].strip()]
+        assert sorted(x for x in unique if x[0] is not None and x[0] != 3) == [(1, a), (2, b), (4, "two words")]
+        assert [x[1] in (c, c + " tail") for x in unique if x[0] == 3] == [True]
+        assert [x[1] in (d, d + " tail") for x in unique if x[0] is None] == [True]
+        assert len(got) - len(unique) == 5
+    hot = make_docs([(i % 3, a, "en") for i in range(600)] + [(None, a, "en")] * 50)
+    assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, hot, "").collect()] == [0]
+    assert corpus_pipeline.drop_near_duplicates(spark, no_docs, "").collect() == []
