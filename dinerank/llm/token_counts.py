@@ -8,9 +8,11 @@ document's segment frequencies through the dictionary codes and summed.
 Nothing is shuffled; a worker keeps its counts from batch to batch, so a
 pre-token costs one encoding per worker and not one per occurrence.
 
-Texts in which segments could interact (runs of three or more white-space
+Texts in which such segments could interact (runs of three or more white-space
 characters, two or more at the end, or a special token's opening characters)
-go to the tokenizer whole.
+are cut where white space follows another character, so that a run stays with
+what comes after it: no pre-token crosses such a place. Only a segment with a
+special token's opening characters goes to the tokenizer as it is.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ from dinerank.llm.common import list_offsets, map_arrow, segment_sums, slices, s
 #: The white space of the tokenizer's pattern language, as an RE2 class.
 WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 WHOLE = WHITE + r"{3,}|" + WHITE + r"{2,}\z|<\|"
+#: Fixed value: the same class for the other engine, and a place where a text may be cut.
+CUT = r"(?<=[^" + regex.sub(r"\\x\{([0-9a-f]+)\}", lambda m: "\\u%04x" % int(m[1], 16), WHITE[1:-1]) + r"])(?=[ \t\n\r])"
 #: Fixed value: the pre-token pattern of the byte-level vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pre-tokens a worker remembers before it starts anew.
@@ -45,6 +49,7 @@ class PieceCounter:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.split = regex.compile(PRE_TOKEN).findall
+        self.cut = regex.compile(CUT, regex.V1).split
         self.known: dict[str, int] = {}
 
     def encode_counts(self, texts: list[str]) -> list[int]:
@@ -53,8 +58,8 @@ class PieceCounter:
     def segments(self, segments: list[str]) -> np.ndarray:
         """Tokens per segment. A segment with a character beyond the Latin
         blocks is its own pre-token: character classes of the two pattern
-        engines may differ there."""
-        parts = [self.split(s) if s.isascii() or max(s) < "ɐ" else [s] for s in segments]
+        engines may differ there. So is one that may hold a special token."""
+        parts = [self.split(s) if "<|" not in s and (s.isascii() or max(s) < "ɐ") else [s] for s in segments]
         if len(self.known) > CACHE_ENTRIES:
             self.known = {}
         known = self.known
@@ -67,7 +72,11 @@ class PieceCounter:
         out = np.zeros(len(column), dtype=np.int64)
         whole = pc.match_substring_regex(column, WHOLE).to_numpy(zero_copy_only=False).astype(bool)
         if whole.any():
-            out[whole] = self.encode_counts(column.filter(pa.array(whole)).to_pylist())
+            cut = [self.cut(t) for t in column.filter(pa.array(whole)).to_pylist()]
+            ends = np.cumsum([0, *map(len, cut)])
+            coded = pa.array([s for segments in cut for s in segments], pa.large_string()).dictionary_encode()
+            each = self.segments(coded.dictionary.to_pylist())
+            out[whole] = segment_sums(each[coded.indices.to_numpy()], ends)
         plain = column.filter(pa.array(~whole))
         if not len(plain):
             return out

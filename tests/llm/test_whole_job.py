@@ -3,11 +3,12 @@
 import random
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from llm_helpers import make_docs, no_docs, odd_docs, prose  # noqa: F401
 from pyspark.sql import functions as F
 
-from dinerank.llm import language_id, near_dedup
+from dinerank.llm import language_id, near_dedup, token_counts
 
 
 def test_a_language_of_one_row_in_five_thousand_is_learned(make_docs):
@@ -86,3 +87,21 @@ def test_one_row_of_each_group_of_near_duplicates_stays(spark, make_docs, no_doc
     hot = make_docs([(i % 3, a, "en") for i in range(600)] + [(None, a, "en")] * 50)
     assert [r["doc_id"] for r in corpus_pipeline.drop_near_duplicates(spark, hot, "").collect()] == [0]
     assert corpus_pipeline.drop_near_duplicates(spark, no_docs, "").collect() == []
+
+
+def test_texts_with_runs_of_white_space_are_counted_by_pre_tokens(monkeypatch):
+    counter = token_counts.PieceCounter(public_tokenizers.path("byte_bpe_50k.json"))
+    encode, asked = counter.encode_counts, []
+    monkeypatch.setattr(counter, "encode_counts", lambda texts: asked.extend(texts) or encode(texts))
+    r = random.Random(4)
+    bits = ["def", "x", "1", "'s", " ", " ", "    ", "\n\n", "\n        ", "\t", "\x0b", "\x1c", "\x85", "\xa0", "é", "日本", "<|", "<|endoftext|>", "\u3000"]
+    texts = ["".join(r.choice(bits) for _ in range(r.randint(1, 15))) for _ in range(2000)]
+    code = "def f(a):\n    if a:\n\n\n        return a\n    return None  "
+    texts += [code, code, code + "<|endoftext|>   " + code]
+    want = encode(texts)
+    assert counter.texts(pa.array(texts, pa.large_string())).tolist() == want
+    assert len(asked) == len(set(asked))  # each pre-token once
+    asked.clear()
+    counter.known = {}
+    counter.texts(pa.array([code, code], pa.large_string()))
+    assert len(asked) == len(set(asked)) and max(len(x.split()) for x in asked) <= 1
