@@ -9,7 +9,9 @@ tiles cover at least ``coverage`` of it, in whatever order they stand in the tex
 
 The item set is read in blocks of bounded size; each block is sent to the
 tasks once and all texts stream past it, so nothing is shuffled and a larger
-benchmark means more blocks, not larger ones.
+benchmark means more blocks, not larger ones. A block's result is written to
+the job's folder and its table released before the next block is read, so
+driver and tasks hold one block at a time.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from pyspark.sql import functions as F
 
 from dinerank.llm.common import map_arrow, mix64, slices, strings
 from dinerank.llm.shingles import sequence_hashes, word_hashes
+from dinerank.session import Scratch
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
@@ -155,7 +158,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: TilingParams = TilingPa
     is leaked nowhere; an item shorter than a seed must stand as a whole. Every
     row is judged by itself and kept; repeated items are listed each. All
     columns of ``docs`` come back as they are; if one is named ``out`` the new
-    column takes its place. An empty benchmark gives empty arrays.
+    column takes its place. An empty benchmark gives empty arrays. With several
+    blocks the rows are written once per block but the last.
     """
     spark = docs.sparkSession
     kind = benchmark.schema[item_col].dataType.simpleString()
@@ -166,10 +170,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: TilingParams = TilingPa
     size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
     blocks = max(1, -(-size // params.block_bytes))
     result = docs.withColumn(out, F.array().cast(shape))
+    shared = job = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t").collect() if size else []
         if not own:
             continue
+        if shared is not None:
+            job = job or Scratch(spark)
+            result = job.cut(result)
+            shared.destroy()
         shared = spark.sparkContext.broadcast(Items([r["i"] for r in own], [r["t"] for r in own], params))
         result = map_arrow(result, _pass(shared, names, text_col, out), ", ".join(
             f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema.fields))

@@ -8,7 +8,7 @@ import pyarrow as pa
 from llm_helpers import make_docs, no_docs, odd_docs, prose  # noqa: F401
 from pyspark.sql import functions as F
 
-from dinerank.llm import language_id, near_dedup, token_counts
+from dinerank.llm import decontamination, language_id, near_dedup, token_counts
 
 
 def test_a_language_of_one_row_in_five_thousand_is_learned(make_docs):
@@ -105,3 +105,25 @@ def test_texts_with_runs_of_white_space_are_counted_by_pre_tokens(monkeypatch):
     counter.known = {}
     counter.texts(pa.array([code, code], pa.large_string()))
     assert len(asked) == len(set(asked)) and max(len(x.split()) for x in asked) <= 1
+
+
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, make_docs, monkeypatch):
+    items = [(k, prose(300 + k, 20)) for k in range(12)]
+    docs = make_docs([(k, f"{prose(500 + k, 30)} {t} {items[(k + 5) % 12][1]}", "en") for k, t in items] + [(None, None, "en")])
+    sc, send, sent, held = spark.sparkContext, spark.sparkContext.broadcast, [], []
+
+    def broadcast(value):
+        b = send(value)
+        if isinstance(value, decontamination.Items):
+            sent.append(b)
+            destroy = b.destroy
+            monkeypatch.setattr(b, "destroy", lambda *x: (held.remove(b), destroy(*x)))
+            held.append(b)
+            assert len(held) == 1
+        return b
+
+    monkeypatch.setattr(sc, "broadcast", broadcast)
+    found = decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), decontamination.TilingParams(block_bytes=300))
+    got = {r["doc_id"]: sorted(x["item_id"] for x in r["leaks"]) for r in found.collect()}
+    assert got == {None: []} | {k: sorted((k, (k + 5) % 12)) for k in range(12)}
+    assert len(sent) > 2 and len(held) == 1
