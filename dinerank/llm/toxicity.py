@@ -15,8 +15,8 @@ a task computes them once per distinct word of a batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -271,8 +271,11 @@ class Optimiser:
         p[name][unique] -= self.row_rate * total
 
 
-def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams(), prior: float | None = None) -> Network:
+def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams(), prior: float | None = None,
+        whole: Callable[[Network, np.ndarray], np.ndarray] | None = None) -> Network:
     """Train on whole-text labels (0 or 1); a fifth of the texts calibrates.
+    ``whole``: the logits of the whole texts of some rows, where ``texts`` are
+    pieces of them (default: the pieces calibrate).
     ``prior``: share of toxic texts where the network will be used (default:
     as in the sample). Labels of one kind, or none, give a network whose
     score is constant."""
@@ -317,7 +320,8 @@ def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams()
     rows = held if held.any() and len(set(y[held])) == 2 else np.ones(len(y), dtype=bool)
     share = float(y.mean())
     weight = np.where(y[rows] == 1, 1.0, 1.0 if prior is None else (1 - prior) / prior * share / (1 - share))
-    net.scale, net.shift = _platt(best[rows].astype(np.float64), y[rows].astype(np.float64), weight)
+    z = whole(net, np.flatnonzero(rows)) if whole else best[rows]
+    net.scale, net.shift = _platt(z.astype(np.float64), y[rows].astype(np.float64), weight)
     return net
 
 
@@ -378,6 +382,12 @@ def _platt(z: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, flo
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
+def _usable(docs: DataFrame, learn: Column, text_col: str, id_col: str) -> tuple[DataFrame, Column]:
+    """``_d, _t`` of the rows to learn from that have a text, and their key."""
+    own = docs.where(learn).select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).where("length(_t) > 0")
+    return own, F.xxhash64("_t", "_d")
+
+
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, params: ToxicParams, text_col: str = "text",
                     id_col: str = "doc_id", label_col: str = "toxic") -> tuple[list, float | None]:
     """(rows ``text, y``, share of toxic rows among all labelled ones): at most
@@ -385,8 +395,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, params: T
     most ``sample_chars`` characters from a hashed position."""
     marked = labels.select(F.col(id_col).alias("_l"), F.col(label_col).alias("_y")).where("_y in (0, 1)").groupBy("_l").agg(
         F.max("_y").cast("int").alias("y"))
-    own = docs.where(learn).select(F.col(id_col).alias("_d"), F.col(text_col).cast("string").alias("_t")).where("length(_t) > 0")
-    key = F.xxhash64("_t", "_d")
+    own, key = _usable(docs, learn, text_col, id_col)
     hashed = own.select("_d", key.alias("k"))  # before the join, so that no text is shuffled
     start = F.pmod(key, F.greatest(F.length("_t") - params.sample_chars, F.lit(0)) + 1).cast("int") + 1
     job = Scratch(docs.sparkSession)
@@ -402,10 +411,24 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, params: T
     return rows, toxic / (toxic + clean) if toxic and clean else None
 
 
-def learned(docs: DataFrame, labels: DataFrame, learn: Column, params: ToxicParams = ToxicParams(), text_col: str = "text") -> Network:
-    """A network fitted to the labelled rows of ``docs`` for which ``learn`` holds."""
-    rows, prior = training_sample(docs, labels, learn, params, text_col)
-    return fit([r["text"] for r in rows], [r["y"] for r in rows], params, prior)
+def learned(docs: DataFrame, labels: DataFrame, learn: Column, params: ToxicParams = ToxicParams(), text_col: str = "text",
+            id_col: str = "doc_id") -> Network:
+    """A network fitted to the labelled rows of ``docs`` for which ``learn`` holds.
+    It learns from pieces of long texts and is calibrated on whole held-back
+    texts, which tasks score as they score all texts."""
+    rows, prior = training_sample(docs, labels, learn, params, text_col, id_col)
+
+    def whole(net: Network, at: np.ndarray) -> np.ndarray:
+        spark, (own, key) = docs.sparkSession, _usable(docs, learn, text_col, id_col)
+        keys = spark.createDataFrame([(k,) for k in sorted({rows[i]["_k"] for i in at})], "_k long")
+        held = own.join(F.broadcast(keys), key == F.col("_k")).select("_k", F.col("_t"))
+        raw = replace(net, scale=1.0, shift=0.0)
+        scored = score_texts(held, raw, text_col="_t", keep=["_k"]).groupBy("_k").agg(F.max("score").alias("p"))
+        found = {r["_k"]: r["p"] for r in scored.collect()}
+        p = np.clip(np.array([found[rows[i]["_k"]] for i in at]), 1e-15, 1 - 1e-15)
+        return np.log(p) - np.log1p(-p)
+
+    return fit([r["text"] for r in rows], [r["y"] for r in rows], params, prior, whole)
 
 
 def score_texts(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text", keep: list[str] | None = None,

@@ -1,6 +1,7 @@
 """Cases in which an operator once did less than its whole job."""
 
 import random
+from dataclasses import replace
 
 import numpy as np
 import public_tokenizers
@@ -8,7 +9,7 @@ import pyarrow as pa
 from llm_helpers import make_docs, no_docs, odd_docs, prose  # noqa: F401
 from pyspark.sql import functions as F
 
-from dinerank.llm import decontamination, language_id, near_dedup, token_counts
+from dinerank.llm import decontamination, language_id, near_dedup, token_counts, toxicity
 
 
 def test_a_language_of_one_row_in_five_thousand_is_learned(make_docs):
@@ -127,3 +128,24 @@ def test_one_block_of_the_benchmark_is_held_at_a_time(spark, make_docs, monkeypa
     got = {r["doc_id"]: sorted(x["item_id"] for x in r["leaks"]) for r in found.collect()}
     assert got == {None: []} | {k: sorted((k, (k + 5) % 12)) for k in range(12)}
     assert len(sent) > 2 and len(held) == 1
+
+
+def test_toxicity_is_calibrated_on_whole_texts(spark, make_docs):
+    r = random.Random(9)
+    rows = []
+    for i in range(150):
+        words = prose(700 + i, 200).split()
+        if i % 3 == 0:
+            words.insert(r.randrange(200), "vilelu " * 3)
+        rows.append((i, " ".join(words), "en"))
+    docs, params = make_docs(rows + rows[:5]), toxicity.ToxicParams(sample_chars=150, epochs=2, word_buckets=1 << 10, gram_buckets=1 << 12)
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
+    net = toxicity.learned(docs, labels, F.lit(True), params)
+    sample, prior = toxicity.training_sample(docs, labels, F.lit(True), params)
+    y = np.array([x["y"] for x in sample])
+    held = np.random.default_rng(params.seed + 1).random(len(y)) < 0.2
+    whole = {x["k"]: x["text"] for x in docs.select(F.xxhash64("text", "doc_id").alias("k"), "text").collect()}
+    p = replace(net, scale=1.0, shift=0.0).score(pa.array([whole[x["_k"]] for x, h in zip(sample, held, strict=True) if h], pa.large_string()))
+    weight = np.where(y[held] == 1, 1.0, (1 - prior) / prior * y.mean() / (1 - y.mean()))
+    scale, shift = toxicity._platt(np.log(p) - np.log1p(-p), y[held].astype(np.float64), weight)
+    assert abs(net.scale - scale) < 1e-3 and abs(net.shift - shift) < 1e-3
