@@ -39,8 +39,12 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", size_of: int =
 
 
 def strings(column: pa.Array) -> pa.Array:
-    """A text column as plain strings without nulls."""
-    return pc.fill_null(column.cast(pa.large_string()), "")
+    """A text column as plain strings without nulls.
+
+    A slice is copied first: casting a sliced ``string`` column gives offsets
+    that do not start at 0, which string kernels then read from the wrong place.
+    """
+    return pc.fill_null(pa.concat_arrays([column]).cast(pa.large_string()), "")
 
 
 def list_offsets(parts: pa.Array) -> np.ndarray:
