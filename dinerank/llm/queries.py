@@ -9,7 +9,21 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dinerank.llm import decontamination, language_id, near_dedup, packing, secrets, sharding, suffix_dedup, token_counts, topk_search, toxicity
+from dinerank.llm import (
+    decontamination,
+    filter_audit,
+    language_id,
+    manifest,
+    near_dedup,
+    packing,
+    secrets,
+    sharding,
+    suffix_dedup,
+    token_counts,
+    topk_search,
+    toxicity,
+    vector_dedup,
+)
 from dinerank.llm.common import table
 
 
@@ -72,6 +86,22 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), shards=8)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_dedup.link_vectors(table(spark, sf_dir, "embeddings"), vector_dedup.GridParams(cosine=0.95))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tampered with: the texts of a third of the ids, their capitals made small."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(docs["doc_id"].cast("string").cast("binary")) % 3 == 0
+    found = manifest.manifest(docs, tampered, {"text": manifest.lower_ascii(docs["text"])})
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -83,7 +113,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return own | {"pipeline": pipeline}
 
 
+#: The search's contract in full: floor of 64 times each component, integer
+#: inner products, ties to the smaller id.
+TOP_K_SQL = """
+with v as (
+  select vec_id, row_number() over () as r, list_transform(embedding, lambda x: floor(64 * x::double)) as e
+  from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+q as (select * from v where vec_id % 20 = 0),
+scored as (
+  select q.r as query_row, q.vec_id as query_id, v.vec_id, list_inner_product(q.e, v.e)::bigint as score
+  from q join v on q.r <> v.r),
+ranked as (select *, row_number() over (partition by query_row order by score desc, vec_id) as rank from scored)
+select query_id, rank::int as rank, vec_id, score from ranked where rank <= 20
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    """No operator here has a complete SQL form; tests/llm holds the queries
-    against brute force."""
-    return {}
+    """DuckDB SQL of the operators whose contract SQL can express; tests/llm
+    holds the others against brute force, libraries or held-out labels."""
+    return {"op2_topk_search": TOP_K_SQL, "op12_filter_audit": filter_audit.audit_sql(), "op13_manifest": manifest.manifest_sql()}
