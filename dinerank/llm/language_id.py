@@ -27,9 +27,8 @@ UNDETERMINED = "und"
 
 @dataclass(frozen=True)
 class LanguageParams:
-    sample_texts: int = 2500  # training texts drawn over all languages together
+    sample_texts: int = 1500  # training texts drawn over all languages together, each read as a whole
     least_texts: int = 100  # and at least so many of every language, or all it has
-    sample_chars: int = 1500  # of a text used for training, from a hashed position
     sizes: tuple[int, ...] = (2, 3, 4, 5)
     buckets: int = 1 << 15
     dim: int = 16
@@ -136,26 +135,27 @@ def fit(texts: list[str], labels: list[str], params: LanguageParams = LanguagePa
 
 
 def training_sample(docs: DataFrame, learn: Column, params: LanguageParams, text_col: str = "text", lang_col: str = "lang") -> list:
-    """Labelled texts in hash order, of each at most ``sample_chars`` characters
-    from a hashed position: the ``sample_texts`` of least hash over all
-    languages, and of every language the ``least_texts`` of least hash (all of
-    them where it has fewer). At most sample_texts + least_texts x languages."""
+    """Whole labelled texts in hash order: the ``sample_texts`` of least hash over
+    all languages, and of every language the ``least_texts`` of least hash (all
+    of them where it has fewer). At most sample_texts + least_texts x languages."""
     text, lang = F.col(text_col), F.col(lang_col)
     key = F.xxhash64(text, lang)
-    start = F.pmod(key, F.greatest(F.length(text) - params.sample_chars, F.lit(0)) + 1).cast("int") + 1
     usable = docs.where(learn & lang.isNotNull() & text.rlike(r"\p{L}"))
     # The hashes are drawn first, so that only drawn rows bring their text along.
     keys = scratch(docs).cut(usable.select(lang.alias("_l"), key.alias("_k")).distinct())
     # Of a large language only the start of its hash order is ranked: a share of
     # the hash range that holds eight times the texts asked for on average.
-    counts = keys.groupBy("_l").agg(F.count(F.lit(1)).alias("_n"))
+    counts = scratch(docs).cut(keys.groupBy("_l").agg(F.count(F.lit(1)).alias("_n")))
+    total = counts.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    within = lambda share: F.col("_k") / 2.0**64 + 0.5 <= share
     share = F.least(F.lit(8.0 * params.least_texts) / F.col("_n"), F.lit(1.0))
-    near = keys.join(F.broadcast(counts), "_l").where(F.col("_k") / 2.0**64 + 0.5 <= share)
+    near = keys.join(F.broadcast(counts), "_l").where(within(share))
     rank = F.row_number().over(Window.partitionBy("_l").orderBy("_k"))
     each = near.withColumn("_r", rank).where(F.col("_r") <= params.least_texts).select("_k")
-    drawn = keys.select("_k").orderBy("_k").limit(params.sample_texts).unionByName(each).distinct()
+    start = keys.where(within(F.lit(min(1.0, 8.0 * params.sample_texts / max(1, total)))))
+    drawn = start.select("_k").orderBy("_k").limit(params.sample_texts).unionByName(each).distinct()
     return (usable.join(F.broadcast(drawn), key == F.col("_k"))
-            .select("_k", F.substring(text, start, F.lit(params.sample_chars)).alias("text"), lang.alias("lang"))
+            .select("_k", text.alias("text"), lang.alias("lang"))
             .dropDuplicates(["_k"]).orderBy("_k").collect())
 
 

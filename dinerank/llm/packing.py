@@ -35,7 +35,7 @@ from dinerank.llm.common import gapless, list_offsets, map_arrow, scratch, segme
 #: Fixed value: the pre-token pattern of the word vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pre-tokens a worker remembers before it starts anew.
-CACHE_ENTRIES = 2_000_000
+CACHE_ENTRIES = 400_000
 
 
 class WordIds:

@@ -15,24 +15,23 @@ a task computes them once per distinct word of a batch.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field, replace
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dinerank.llm.common import map_arrow, slices, strings
+from dinerank.llm.common import give_back, map_arrow, slices, strings
 from dinerank.llm.subwords import ngrams_of, word_blocks, words_of
 from dinerank.session import Scratch
 
 
 @dataclass(frozen=True)
 class ToxicParams:
-    sample_toxic: int = 1500  # labelled training texts of either kind
-    sample_clean: int = 3500
-    sample_chars: int = 3000  # of a text used for training, from a hashed position
+    sample_toxic: int = 1200  # labelled training texts of either kind, each read as a whole
+    sample_clean: int = 2600
     window: int = 32  # words
     stride: int = 20
     word_buckets: int = 1 << 14
@@ -271,11 +270,8 @@ class Optimiser:
         p[name][unique] -= self.row_rate * total
 
 
-def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams(), prior: float | None = None,
-        whole: Callable[[Network, np.ndarray], np.ndarray] | None = None) -> Network:
-    """Train on whole-text labels (0 or 1); a fifth of the texts calibrates.
-    ``whole``: the logits of the whole texts of some rows, where ``texts`` are
-    pieces of them (default: the pieces calibrate).
+def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams(), prior: float | None = None) -> Network:
+    """Train on whole texts with labels (0 or 1); a fifth of them calibrates.
     ``prior``: share of toxic texts where the network will be used (default:
     as in the sample). Labels of one kind, or none, give a network whose
     score is constant."""
@@ -320,8 +316,7 @@ def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams()
     rows = held if held.any() and len(set(y[held])) == 2 else np.ones(len(y), dtype=bool)
     share = float(y.mean())
     weight = np.where(y[rows] == 1, 1.0, 1.0 if prior is None else (1 - prior) / prior * share / (1 - share))
-    z = whole(net, np.flatnonzero(rows)) if whole else best[rows]
-    net.scale, net.shift = _platt(z.astype(np.float64), y[rows].astype(np.float64), weight)
+    net.scale, net.shift = _platt(best[rows].astype(np.float64), y[rows].astype(np.float64), weight)
     return net
 
 
@@ -391,22 +386,23 @@ def _usable(docs: DataFrame, learn: Column, text_col: str, id_col: str) -> tuple
 def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, params: ToxicParams, text_col: str = "text",
                     id_col: str = "doc_id", label_col: str = "toxic") -> tuple[list, float | None]:
     """(rows ``text, y``, share of toxic rows among all labelled ones): at most
-    ``sample_toxic`` and ``sample_clean`` labelled texts in hash order, of each at
-    most ``sample_chars`` characters from a hashed position."""
+    ``sample_toxic`` and ``sample_clean`` labelled texts in hash order, whole. A
+    share of the hash range that holds eight times as many on average is
+    ranked, so no task hands on more than it."""
     marked = labels.select(F.col(id_col).alias("_l"), F.col(label_col).alias("_y")).where("_y in (0, 1)").groupBy("_l").agg(
         F.max("_y").cast("int").alias("y"))
     own, key = _usable(docs, learn, text_col, id_col)
     hashed = own.select("_d", key.alias("k"))  # before the join, so that no text is shuffled
-    start = F.pmod(key, F.greatest(F.length("_t") - params.sample_chars, F.lit(0)) + 1).cast("int") + 1
     job = Scratch(docs.sparkSession)
     # The labelled ids meet the texts' hashes first; only drawn rows carry text.
     drawn = job.cut(hashed.join(marked, F.col("_d") == F.col("_l")).select("k", "_d", "y"))
     n = {r["y"]: r["n"] for r in drawn.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     rows = []
     for y, most in ((1, params.sample_toxic), (0, params.sample_clean)):
-        ids = drawn.where(F.col("y") == y).orderBy("k", "_d").limit(most).select(F.col("k").alias("_k"), "y")
-        rows += own.join(F.broadcast(ids), key == F.col("_k")).select(
-            F.substring("_t", start, F.lit(params.sample_chars)).alias("text"), "y", "_k").orderBy("_k").limit(most).collect()
+        share = min(1.0, 8.0 * most / max(1, n.get(y, 0)))
+        near = drawn.where((F.col("y") == y) & (F.col("k") / 2.0**64 + 0.5 <= share))
+        ids = near.orderBy("k", "_d").limit(most).select(F.col("k").alias("_k"), "y")
+        rows += own.join(F.broadcast(ids), key == F.col("_k")).select(F.col("_t").alias("text"), "y", "_k").orderBy("_k").limit(most).collect()
     toxic, clean = n.get(1, 0), n.get(0, 0)
     return rows, toxic / (toxic + clean) if toxic and clean else None
 
@@ -414,21 +410,12 @@ def training_sample(docs: DataFrame, labels: DataFrame, learn: Column, params: T
 def learned(docs: DataFrame, labels: DataFrame, learn: Column, params: ToxicParams = ToxicParams(), text_col: str = "text",
             id_col: str = "doc_id") -> Network:
     """A network fitted to the labelled rows of ``docs`` for which ``learn`` holds.
-    It learns from pieces of long texts and is calibrated on whole held-back
-    texts, which tasks score as they score all texts."""
+    A null or empty text is not learned from; without labels of both kinds
+    the score is constant."""
     rows, prior = training_sample(docs, labels, learn, params, text_col, id_col)
-
-    def whole(net: Network, at: np.ndarray) -> np.ndarray:
-        spark, (own, key) = docs.sparkSession, _usable(docs, learn, text_col, id_col)
-        keys = spark.createDataFrame([(k,) for k in sorted({rows[i]["_k"] for i in at})], "_k long")
-        held = own.join(F.broadcast(keys), key == F.col("_k")).select("_k", F.col("_t"))
-        raw = replace(net, scale=1.0, shift=0.0)
-        scored = score_texts(held, raw, text_col="_t", keep=["_k"]).groupBy("_k").agg(F.max("score").alias("p"))
-        found = {r["_k"]: r["p"] for r in scored.collect()}
-        p = np.clip(np.array([found[rows[i]["_k"]] for i in at]), 1e-15, 1 - 1e-15)
-        return np.log(p) - np.log1p(-p)
-
-    return fit([r["text"] for r in rows], [r["y"] for r in rows], params, prior, whole)
+    net = fit([r["text"] for r in rows], [r["y"] for r in rows], params, prior)
+    give_back()
+    return net
 
 
 def score_texts(docs: DataFrame, net: Network, threshold: float = 0.3, text_col: str = "text", keep: list[str] | None = None,

@@ -138,14 +138,68 @@ def test_toxicity_is_calibrated_on_whole_texts(spark, make_docs):
         if i % 3 == 0:
             words.insert(r.randrange(200), "vilelu " * 3)
         rows.append((i, " ".join(words), "en"))
-    docs, params = make_docs(rows + rows[:5]), toxicity.ToxicParams(sample_chars=150, epochs=2, word_buckets=1 << 10, gram_buckets=1 << 12)
+    docs, params = make_docs(rows + rows[:5]), toxicity.ToxicParams(epochs=2, word_buckets=1 << 10, gram_buckets=1 << 12)
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _, _ in rows], "doc_id long, toxic int")
     net = toxicity.learned(docs, labels, F.lit(True), params)
     sample, prior = toxicity.training_sample(docs, labels, F.lit(True), params)
     y = np.array([x["y"] for x in sample])
     held = np.random.default_rng(params.seed + 1).random(len(y)) < 0.2
+    assert all(len(x["text"].split()) >= 200 for x in sample)  # whole, not pieces
     whole = {x["k"]: x["text"] for x in docs.select(F.xxhash64("text", "doc_id").alias("k"), "text").collect()}
     p = replace(net, scale=1.0, shift=0.0).score(pa.array([whole[x["_k"]] for x, h in zip(sample, held, strict=True) if h], pa.large_string()))
     weight = np.where(y[held] == 1, 1.0, (1 - prior) / prior * y.mean() / (1 - y.mean()))
     scale, shift = toxicity._platt(np.log(p) - np.log1p(-p), y[held].astype(np.float64), weight)
     assert abs(net.scale - scale) < 1e-3 and abs(net.shift - shift) < 1e-3
+
+
+def test_slices_give_the_results_of_whole_batches():
+    """Every slice of a batch, of either string type, has the words and hashes of its own texts."""
+    import pyarrow as pa
+
+    from dinerank.llm import common, shingles
+
+    texts = [prose(900 + k, 30).upper() for k in range(50)]
+    want = [s.tolist() for s in shingles.shingle_sets(pa.array(texts, pa.large_string()))]
+    for kind in (pa.string(), pa.large_string()):
+        for column in (pa.array(texts, kind), pa.array(["skipped", *texts], kind).slice(1)):
+            batch = pa.RecordBatch.from_arrays([column], names=["text"])
+            parts = list(common.slices([batch], size_of=700))
+            assert len(parts) > 5
+            got = [s.tolist() for part in parts for s in shingles.shingle_sets(common.strings(part.column("text")))]
+            assert got == want
+
+
+def test_near_duplicates_over_several_slices(spark):
+    """sf0.01 in one partition, so that a task meets many slices: sets and links as by brute force."""
+    from test_text_ops import check_near
+
+    from dinerank.llm import near_dedup
+
+    check_near(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").coalesce(1), near_dedup.NearParams())
+
+
+def test_leaks_over_several_slices(spark):
+    """Every item planted in a document of its own is found in every slice."""
+    from dinerank.llm import decontamination
+
+    bench = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
+    items = [(r["item_id"], r["text"]) for r in bench.collect()]
+    rows = [(i, prose(i, 2000) + " " + text + " " + prose(i + 1, 2000)) for i, (_, text) in enumerate(items)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {r["doc_id"]: {x["item_id"] for x in r["leaks"]} for r in decontamination.leaks(docs, bench).collect()}
+    assert all(item in found[i] for i, (item, _) in enumerate(items))
+
+
+def test_stages_keep_columns_named_like_their_own(spark):
+    """Columns that clash with a stage's internal names come back as they were."""
+    import corpus_pipeline
+
+    names = ["_score", "_toxic", "_h", "_listed", "_r", "_leaks", "leaks", "score", "c0", "id"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    docs = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "/root/testdata/sf0.001")
+        assert out.columns == docs.columns
+        rows = out.collect()
+        assert rows and all(r[n] == f"{n}{r['doc_id']}" for r in rows for n in names)
+        assert stage(spark, docs.limit(0), "/root/testdata/sf0.001").collect() == []
