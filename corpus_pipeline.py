@@ -23,11 +23,24 @@ REJECT_TOXIC = 0.5
 ORACLE_SQL = None
 
 
+def _plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with columns c0, c1, ..., which clash with no name a stage makes, and their names by the old ones."""
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below REJECT_TOXIC; the network learns from the labelled ones."""
+    """Documents scored below REJECT_TOXIC; the network learns from the labelled ones.
+
+    A null or empty text has the score of a text without words, and every row
+    is judged by itself: repeated rows go or stay together. Long texts are
+    scored window by window; the worst window counts. A score of exactly
+    REJECT_TOXIC is rejected. An empty table stays empty.
+    """
+    own, c = _plain(docs)
     net = toxicity.learned(docs, table(spark, sf_dir, "labels"), F.lit(True))
-    scored = toxicity.score_texts(docs, net, REJECT_TOXIC, keep=docs.columns, score="_score", predicted="_toxic")
-    return scored.where("_toxic = 0").select(*docs.columns)
+    scored = toxicity.score_texts(own, net, REJECT_TOXIC, c["text"], keep=own.columns)
+    return scored.where("predicted = 0").select(*own.columns).toDF(*docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,15 +49,19 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Texts decide, not ids: rows of one id with different texts are documents of
     their own, repeated rows and equal texts with a null id are copies. Rows
-    whose text is null or has no word are in no group and all stay.
+    whose text is null or has no word are in no group and all stay. Long texts
+    are compared as wholes. An empty table stays empty.
     """
-    job, names = Scratch(spark), docs.columns
+    job = Scratch(spark)
+    plain, c = _plain(docs)
+    plain = plain.withColumnsRenamed({c["text"]: "text", c["doc_id"]: "doc_id"})
+    kept = plain.columns
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-    own = docs.where(worded).withColumn("_h", F.xxhash64("text"))
+    own = plain.where(worded).withColumn("_h", F.xxhash64("text"))
     # One row per text. Only texts met twice are ranked, and each task hands on its first row of a text.
     twice = job.cut(own.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
     marked = listed(own, twice, ["_h"], "_listed")
-    rank = F.row_number().over(Window.partitionBy("_h", "text").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*names)))
+    rank = F.row_number().over(Window.partitionBy("_h", "text").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*kept)))
     first = marked.where("_listed").withColumn("_r", rank).where("_r = 1").drop("_r")
     one = job.cut(marked.where(~F.col("_listed")).unionByName(first).drop("_listed"))
     groups = near_dedup.near_duplicates(one, near_dedup.NearParams(percent=80, bands=48, rows=5), id_col="_h")
@@ -55,23 +72,40 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     gone = job.cut(groups.select("_h").join(least.select(F.col("_least._h").alias("_h")), "_h", "left_anti"))
     marked = listed(one, gone, ["_h"], "_listed")
     left = marked.where(~F.col("_listed")).unionByName(marked.where("_listed").join(gone, "_h", "left_anti").select(*marked.columns))
-    return left.select(*names).unionByName(docs.where(~worded))
+    out = left.select(*kept).unionByName(plain.where(~worded))
+    return out.toDF(*docs.columns)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak no benchmark item."""
-    found = decontamination.leaks(docs, table(spark, sf_dir, "benchmark"), out="_leaks")
-    return found.where(F.size("_leaks") == 0).select(*docs.columns)
+    """Documents that leak no benchmark item.
+
+    A null or empty text leaks nothing and stays; every row is judged by
+    itself, whatever its id; long texts are searched as wholes. An empty
+    benchmark, or an empty table, changes nothing.
+    """
+    own, c = _plain(docs)
+    found = decontamination.leaks(own, table(spark, sf_dir, "benchmark"), text_col=c["text"], out="leaks")
+    return found.where(F.size("leaks") == 0).select(*own.columns).toDF(*docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, its secrets replaced by a mark; n_chars follows the text."""
+    """Every document, its secrets replaced by a mark; n_chars follows the text.
+
+    Null texts stay null, empty ones empty, a null n_chars stays null; rows of
+    one id and repeated rows are each redacted. Overlapping finds become one
+    mark. An empty table stays empty.
+    """
     return secrets.redacted(docs).withColumn(
         "n_chars", F.when(F.col("n_chars").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))).select(*docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places in sequences of 4096 tokens."""
+    """The pieces of all documents and their places in sequences of 4096 tokens.
+
+    A null or empty text is one piece, its end token; longer texts than a
+    sequence are cut; every row, repeated or without an id, is packed. An empty
+    table gives no pieces.
+    """
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
 
 
