@@ -3,19 +3,21 @@
 The reference answers one request by scanning every listing. Here a whole
 table of requests is answered in one job:
 
-1. **Coalesce requests** to distinct criteria keys ``(loc_q, budget, cui_q)``.
-2. **Reduce listings to profiles** ``(location, budget_band, cuisines)``: one
-   aggregation keeps, per profile, name and rating, the row count and the best
-   row. A predicate looks at the profile only, so all later joins are
-   between keys and profiles, never between keys and listings.
-3. **Resolve the location substring** against the distinct profile locations
-   with an exact gram equi-join (``substring_pairs``) and join keys to profiles
-   on equality ``(location, budget_band)``; the any-tag test is a residual.
-4. **Cap per profile, then per key**: a name among a key's best ``n`` is among
-   its profile's best ``n``, so profiles are trimmed before they meet the keys.
+1. **Coalesce requests** to distinct criteria keys ``(loc_q, budget, cui_q)``,
+   each with a 64-bit id ``kid``.
+2. **Profiles.** The predicates look at ``(location, budget_band, cuisines)`` only.
+   A distinct profile has a 64-bit id ``pid``, a hash of its columns, so a listing
+   knows its profile without a join and no array is ever a join key.
+3. **Inverted tag index.** Location and cuisine substrings are resolved against
+   the distinct locations and tags with an exact gram equi-join
+   (``substring_pairs``). Tags give posting lists ``(location, band, cuisine
+   query) -> pid``; keys meet them on equality, so only true pairs are made.
+4. **State per profile**, one hash aggregation over the listings: rows and name
+   marks per rating and band of votes. Summed per key it gives the rating histogram
+   behind ``total_before_cap``, and how far down the quality order a key's
+   best ``n`` names can lie at most; only listings above that are sorted.
 5. **Apply ``min_rating`` after the cap**: the quality order starts with
    rating, so filtering the capped prefix equals capping the filtered set.
-   ``total_before_cap`` comes from the profiles' rating histograms.
 
 Plans stay lazy and carry no broadcast hints: the planner decides from its
 own size estimates. Intermediates are written only into a caller's ``Scratch``.
@@ -163,28 +165,65 @@ def cuisine_match(cui_q: Column) -> Column:
 PROFILE = ["location", "budget_band", "cuisines"]
 
 
-def listing_profiles(listings: DataFrame) -> DataFrame:
-    """Listings summed per profile, name and rating: ``_n`` rows and the best
-    of them in quality order. Combines partially before its shuffle."""
-    lst = listing_columns(listings)
-    best = F.min_by(
-        F.struct("id", "name", "estimated_cost", "votes"),
-        F.struct((-F.coalesce(F.col("votes"), F.lit(0))).alias("v"), F.lower("name").alias("n"), F.col("id").alias("i")))
-    return (
-        lst.groupBy(*PROFILE, lower_strip(F.col("name")).alias("_name"), "rating")
-        .agg(F.count(F.lit(1)).alias("_n"), best.alias("_best"))
-    )
+def profile_id() -> Column:
+    """64-bit id of a listing's profile."""
+    return F.xxhash64(*PROFILE)
+
+
+def criteria(requests: DataFrame) -> DataFrame:
+    """The distinct criteria of valid requests, with their 64-bit id ``kid``."""
+    return requests.select(*KEY).distinct().withColumn("kid", F.xxhash64(*KEY))
 
 
 def match_profiles(profiles: DataFrame, keys: DataFrame) -> DataFrame:
-    """``(loc_q, budget, cui_q)`` with every profile it matches (no rating)."""
-    keys = keys.select(*KEY).distinct()
-    distinct = profiles.select(*PROFILE).distinct()
-    located = keys.join(substring_pairs(keys, "loc_q", distinct, "location"), "loc_q")
-    return (
-        located.withColumn("budget_band", F.col("budget")).join(distinct, ["location", "budget_band"])
-        .where(cuisine_match(F.col("cui_q"))).select(*KEY, *PROFILE)
+    """``(kid, pid)``: the profiles (``pid`` and the PROFILE columns) that match each key, whatever the rating."""
+    tags = profiles.select("pid", "location", "budget_band", F.explode(F.array_distinct("cuisines")).alias("tag"))
+    postings = (
+        tags.join(substring_pairs(keys, "cui_q", tags, "tag"), "tag")
+        .select("location", F.col("budget_band").alias("budget"), "cui_q", "pid").distinct()
     )
+    located = keys.join(substring_pairs(keys, "loc_q", profiles, "location"), "loc_q")
+    return located.join(postings, ["location", "budget", "cui_q"]).select("kid", "pid")
+
+
+def _votes_band() -> Column:
+    """A coarse scale that never falls where votes rise."""
+    return F.floor(F.log2(F.greatest(F.coalesce(F.col("votes"), F.lit(0)), F.lit(0)) + 1)).cast("int")
+
+
+#: Name marks per 64-bit word, and cap rows that one word is taken for.
+_MARKS, _PER_WORD = 64, 16
+
+
+def listing_states(listings: DataFrame, n: int) -> DataFrame:
+    """Per profile, rating and band of votes: ``_n`` rows, and in ``_m0``, ``_m1``, ...
+    a mark for the hash of every name that is not blank. All of it merges by sum
+    and bitwise or, so it is combined before the one shuffle."""
+    words = max(1, -(-n // _PER_WORD))
+    name = lower_strip(F.col("name"))
+    mark = F.when(name != F.lit(""), F.pmod(F.xxhash64(name), F.lit(words * _MARKS)))
+    lst = listings.select(*PROFILE, "rating", _votes_band().alias("_v"), mark.alias("_mark"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("_mark", F.lit(_MARKS)).cast("int"))
+    marks = [F.bit_or(F.when(F.floor(F.col("_mark") / _MARKS) == j, bit).otherwise(F.lit(0).cast("long"))).alias(f"_m{j}") for j in range(words)]
+    return lst.groupBy(*PROFILE, "rating", "_v").agg(F.count(F.lit(1)).alias("_n"), *marks).withColumn("pid", profile_id())
+
+
+def key_states(states: DataFrame, matched: DataFrame) -> DataFrame:
+    """The states summed per key, rating and band of votes."""
+    marks = [c for c in states.columns if c.startswith("_m")]
+    return matched.join(states.select("pid", "rating", "_v", "_n", *marks), "pid").groupBy("kid", "rating", "_v").agg(
+        F.sum("_n").alias("_n"), *[F.bit_or(m).alias(m) for m in marks])
+
+
+def depth_bounds(sums: DataFrame, n: int) -> DataFrame:
+    """``kid, _r, _b``: rating and band of votes down to which a key surely has ``n``
+    different names (fewer marks than names can be set, never more). No row for a key with too few."""
+    marks = [c for c in sums.columns if c.startswith("_m")]
+    # At most one row per rating and band of votes in a window.
+    down = Window.partitionBy("kid").orderBy(F.col("rating").desc(), F.col("_v").desc())
+    names = sum((F.bit_count(F.bit_or(m).over(down)) for m in marks), F.lit(0))
+    enough = sums.select("kid", F.struct("rating", "_v").alias("_at"), names.alias("_names")).where(F.col("_names") >= n)
+    return enough.groupBy("kid").agg(F.max("_at").alias("_at")).select("kid", F.col("_at.rating").alias("_r"), F.col("_at._v").alias("_b"))
 
 
 def dedup_by_name(df: DataFrame, group: list[str] | None = None) -> DataFrame:
@@ -207,10 +246,13 @@ def cap_by_quality(df: DataFrame, group: list[str], n: int, pos: str = "pos") ->
     return df.withColumn(pos, F.row_number().over(w)).where(F.col(pos) <= n)
 
 
-def profile_candidates(profiles: DataFrame, params: Params = DEFAULT) -> DataFrame:
-    """The best ``max_candidates`` distinct names of each profile."""
-    rows = profiles.select(*PROFILE, "rating", "_best.*")
-    return cap_by_quality(dedup_by_name(rows, PROFILE), PROFILE, params.max_candidates).drop("pos")
+def key_candidates(listings: DataFrame, matched: DataFrame, bounds: DataFrame, n: int) -> DataFrame:
+    """The best ``n`` distinct names of each key, with ``pos``; only listings of
+    matched profiles and within the key's bound are sorted."""
+    wanted = matched.join(bounds, "kid", "left")
+    rows = listing_columns(listings).withColumns({"pid": profile_id(), "_v": _votes_band()}).join(wanted, "pid")
+    near = rows.where(F.col("_r").isNull() | (F.col("rating") > F.col("_r")) | ((F.col("rating") == F.col("_r")) & (F.col("_v") >= F.col("_b"))))
+    return cap_by_quality(dedup_by_name(near.drop("pid", "_v", "_r", "_b"), ["kid"]), ["kid"], n)
 
 
 def select_candidates(listings: DataFrame, requests: DataFrame, params: Params = DEFAULT,
@@ -223,36 +265,37 @@ def select_candidates(listings: DataFrame, requests: DataFrame, params: Params =
     ``stats(request_id, total_before_cap, candidate_count, is_empty, was_capped)``.
     ``total_before_cap`` counts matches before name dedup.
 
-    With ``scratch`` the profile table (the one pass over the listings), the
-    key-profile pairs and the per-key candidates are written there once and
-    shared by both outputs; without it both plans are lazy.
+    With ``scratch`` the profile states, the key-profile pairs, the key states
+    and the per-key candidates are written there once and shared by both
+    outputs; without it both plans are lazy.
     """
     keep = scratch.cut if scratch else (lambda df: df)
-    req = valid_requests(requests, params)
-    profiles = keep(listing_profiles(listings))
-    matched = keep(match_profiles(profiles, req))
-
-    # Per key: capped candidates (no rating filter) and a rating histogram.
-    capped = profile_candidates(profiles, params)
-    cands_k = keep(cap_by_quality(dedup_by_name(matched.join(capped, PROFILE), KEY), KEY, params.max_candidates))
-    per_profile = profiles.groupBy(*PROFILE, "rating").agg(F.sum("_n").alias("_n"))
-    hist = matched.join(per_profile, PROFILE).groupBy(*KEY, "rating").agg(F.sum("_n").alias("_n"))
+    n = params.max_candidates
+    req = valid_requests(requests, params).withColumn("kid", F.xxhash64(*KEY))
+    # A null rating passes no threshold and stands last in every order.
+    rated = listings.where(F.col("rating").isNotNull() & F.col("budget_band").isNotNull())
+    states = keep(listing_states(rated.withColumn("votes", F.col("metadata.votes")), n))
+    profiles = keep(states.select("pid", *PROFILE).distinct())
+    matched = keep(match_profiles(profiles, criteria(req)))
+    sums = keep(key_states(states, matched))
+    cands_k = keep(key_candidates(rated, matched, depth_bounds(sums, n), n))
+    hist = sums.groupBy("kid", "rating").agg(F.sum("_n").alias("_n"))
 
     # Per (key, min_rating): matches and candidates passing the threshold.
-    thresholds = req.select(*KEY, "min_rating").distinct()
+    thresholds = req.select("kid", "min_rating").distinct()
     totals = (
-        thresholds.join(hist, KEY)
+        thresholds.join(hist, "kid")
         .where(F.col("rating") >= F.col("min_rating"))
-        .groupBy(*KEY, "min_rating")
+        .groupBy("kid", "min_rating")
         .agg(F.sum("_n").cast("bigint").alias("total_before_cap"))
     )
     cand_counts = (
-        thresholds.join(cands_k.select(*KEY, "rating"), KEY)
+        thresholds.join(cands_k.select("kid", "rating"), "kid")
         .where(F.col("rating") >= F.col("min_rating"))
-        .groupBy(*KEY, "min_rating")
+        .groupBy("kid", "min_rating")
         .agg(F.count(F.lit(1)).cast("bigint").alias("candidate_count"))
     )
-    tk = KEY + ["min_rating"]
+    tk = ["kid", "min_rating"]
     stats = (
         req.select("request_id", *tk)
         .join(totals, tk, "left")
@@ -271,8 +314,8 @@ def select_candidates(listings: DataFrame, requests: DataFrame, params: Params =
     # Requests pick up their key's candidates; the rating cut keeps a prefix,
     # so positions stay 1..n.
     candidates = (
-        req.select("request_id", *KEY, "min_rating")
-        .join(cands_k, KEY)
+        req.select("request_id", *tk)
+        .join(cands_k, "kid")
         .where(F.col("rating") >= F.col("min_rating"))
         .select("request_id", F.col("pos").cast("int").alias("pos"), "id", "name", "location",
                 "cuisines", "rating", "estimated_cost", "budget_band", "votes")
@@ -283,12 +326,12 @@ def select_candidates(listings: DataFrame, requests: DataFrame, params: Params =
 def batch_match(listings: DataFrame, requests: DataFrame, params: Params = DEFAULT) -> DataFrame:
     """Every ``(request_id, listing id)`` pair passing all four hard filters
     (before dedup and cap). All pairs are the feature, so no other plan uses it."""
-    req = valid_requests(requests, params)
-    lst = listings.select(*PROFILE, "id", "rating")
-    matched = match_profiles(lst, req)
+    req = valid_requests(requests, params).withColumn("kid", F.xxhash64(*KEY))
+    lst = listings.where(F.col("rating").isNotNull() & F.col("budget_band").isNotNull()).select(*PROFILE, "id", "rating")
+    matched = match_profiles(lst.select(*PROFILE).distinct().withColumn("pid", profile_id()), criteria(req))
+    per_key = lst.select(profile_id().alias("pid"), "id", "rating").join(matched, "pid")
     return (
-        req.select("request_id", *KEY, "min_rating")
-        .join(matched, KEY).join(lst, PROFILE)
+        req.select("request_id", "kid", "min_rating").join(per_key, "kid")
         .where(F.col("rating") >= F.col("min_rating"))
         .select("request_id", F.col("id").alias("listing_id"))
     )

@@ -210,3 +210,23 @@ def test_dedup_is_idempotent_and_cap_is_subset(spark):
     top = match.top_listings(canonical, 5)
     assert top.select("id").subtract(once.select("id")).count() == 0
     assert [r["pos"] for r in top.orderBy("pos").collect()] == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("cap", [1, 3, 30, 100])
+def test_depth_bounds_lose_no_candidate(spark, cap):
+    """Many names per key, repeated, blank and tied: the bounded plan equals the plain one."""
+    import random
+
+    r = random.Random(cap)
+    rows = [(f"id{i}", r.choice(["", " ", "Zed", *[f"Name {k}" for k in range(150)], *[f" name {k} " for k in range(40)]]), r.choice(["koramangala", "btm"]), r.choice([["indian"], ["indian", "north indian"], ["thai"], [], None]),
+             r.choice([None, 0.0, 3.1, 4.0, 4.1, 4.9]), 500.0, r.choice(["low", "high", None]), r.choice([None, 0, 1, 7, 900])) for i in range(2500)]
+    listings = spark.createDataFrame(rows, "id string, name string, location string, cuisines array<string>, rating double, estimated_cost double, "
+                                           "budget_band string, votes long").withColumn("metadata", F.struct("votes")).drop("votes")
+    requests = make_requests(spark, [{"location": loc, "budget": b, "cuisine": c, "min_rating": m}
+                                     for loc in ("koramangala", "m") for b in ("low", "high") for c in ("indian", "north", "thai", "none") for m in (0.0, 4.0)])
+    got, stats = match.select_candidates(listings, requests, Params(max_candidates=cap))
+    pick = ["request_id", "pos", "id"]
+    want = brute_force(listings, requests, cap)
+    assert sorted(map(tuple, got.select(pick).collect())) == sorted(map(tuple, want.select(pick).collect()))
+    assert {x["request_id"]: x["candidate_count"] for x in stats.collect() if x["candidate_count"]} == {
+        x["request_id"]: x["count"] for x in want.groupBy("request_id").count().collect()}
