@@ -2,9 +2,11 @@
 with a manifest, build-if-missing.
 
 Publishing writes a new version directory, checks the row count observed
-during that same write, and only then moves the ``_CURRENT`` pointer, so
-readers never see a half-written or empty table (object stores have no
-atomic rename; a pointer file is the portable swap).
+during that same write, and only then commits it: a numbered record, created
+only if there is none of that number, names the directory. Records are never
+changed. Readers take the last complete record, so they see a whole table or
+the one before it, and of two publishers one gets a number and the other the
+next, or a conflict if it insists on the state it started from.
 """
 
 from __future__ import annotations
@@ -20,10 +22,14 @@ from pyspark.sql import types as T
 from dinerank.operators.ingest import position, with_row_index
 from dinerank.schemas import LISTING, RAW_COLUMNS, check_raw_columns
 
-POINTER = "_CURRENT"
+COMMITS = "_commits"
 MANIFEST = "_manifest.json"
 
 
+class PublishConflict(RuntimeError):
+    """Another version was committed since the one a publisher started from."""
+
+
 # ----------------------------------------------------------- Hadoop FS helpers
 
 def _fs(spark: SparkSession, path: str):
@@ -38,6 +44,7 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 
 def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a file that nobody reads yet."""
     fs, p = _fs(spark, path)
     out = fs.create(p, True)
     try:
@@ -46,6 +53,32 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
         out.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a new file; False, and nothing changed, where there is one already."""
+    from py4j.protocol import Py4JJavaError
+
+    fs, p = _fs(spark, path)
+    jvm, data = spark.sparkContext._jvm, bytearray(text.encode("utf-8"))
+    try:
+        if fs.getUri().getScheme() == "file":  # Hadoop's local files look first and create then
+            fs.mkdirs(p.getParent())
+            nio = jvm.java.nio.file
+            options = spark.sparkContext._gateway.new_array(nio.OpenOption, 2)
+            options[0], options[1] = nio.StandardOpenOption.CREATE_NEW, nio.StandardOpenOption.WRITE
+            nio.Files.write(nio.Paths.get(p.toUri().getPath(), spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0)), data, options)
+            return True
+        out = fs.create(p, False)
+        try:
+            out.write(data)
+        finally:
+            out.close()
+        return True
+    except Py4JJavaError as e:
+        if "AlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+
+
 def read_text(spark: SparkSession, path: str) -> str:
     fs, p = _fs(spark, path)
     jvm = spark.sparkContext._jvm
@@ -79,20 +112,46 @@ def scan_raw(spark: SparkSession, path: str, fmt: str = "parquet", split: str |
                      position(F.col("row_index")).alias("row_index"))
 
 
-def current_version(spark: SparkSession, base: str) -> str:
-    """Directory of the published version (``base`` itself for plain tables)."""
-    pointer = f"{base.rstrip('/')}/{POINTER}"
-    if path_exists(spark, pointer):
-        return f"{base.rstrip('/')}/{read_text(spark, pointer).strip()}"
-    return base
-
-
-def scan_listings(spark: SparkSession, base: str) -> DataFrame:
-    """Canonical listings; no such folder -> ``FileNotFoundError``; nothing
-    published in it, or a table without rows -> ``ValueError``."""
+def commits(spark: SparkSession, base: str) -> list[tuple[int, str]]:
+    """``(number, version directory)`` of every complete commit, oldest first. A
+    record whose publisher died before its end is none."""
+    folder = f"{base.rstrip('/')}/{COMMITS}"
+    if not path_exists(spark, folder):
+        return []
+    out = []
+    for number in _numbers(spark, base):
+        try:
+            record = json.loads(read_text(spark, f"{folder}/{number:020d}"))
+        except ValueError:
+            continue
+        out.append((number, record["version"]))
+    return out
+
+
+def _numbers(spark: SparkSession, base: str) -> list[int]:
+    """Numbers of all records, complete or not."""
+    fs, p = _fs(spark, f"{base.rstrip('/')}/{COMMITS}")
+    return sorted(int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()) if fs.exists(p) else []
+
+
+def current_version(spark: SparkSession, base: str, number: int | None = None) -> str:
+    """Directory of the last commit, or of commit ``number`` (``base`` itself
+    for plain tables); a number that is not there -> ``ValueError``."""
+    found = commits(spark, base)
+    if number is not None:
+        found = [c for c in found if c[0] == number]
+        if not found:
+            raise ValueError(f"{base} has no version {number}")
+    return f"{base.rstrip('/')}/{found[-1][1]}" if found else base
+
+
+def scan_listings(spark: SparkSession, base: str, number: int | None = None) -> DataFrame:
+    """Canonical listings of the last commit, or of commit ``number``; no such
+    folder -> ``FileNotFoundError``; nothing published in it, or a table without
+    rows -> ``ValueError``. The result stays with the version it found."""
     if not path_exists(spark, base):
         raise FileNotFoundError(f"no listing table at {base}: ingest into it first")
-    df = spark.read.schema(LISTING).parquet(current_version(spark, base))
+    df = spark.read.schema(LISTING).parquet(current_version(spark, base, number))
     if df.isEmpty():
         raise ValueError(f"the listing table at {base} holds no rows")
     return df
@@ -131,10 +190,14 @@ def sanitize_nan(df: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- sinks
 
-def publish(df: DataFrame, base: str, version: str | None = None, num_files: int | None = None) -> dict:
-    """Write ``df`` as a new version under ``base`` with its manifest, then move
-    the pointer to it. A version without rows is removed and refused. Returns
-    the manifest.
+def publish(df: DataFrame, base: str, version: str | None = None, num_files: int | None = None,
+            expected: int | None = None) -> dict:
+    """Write ``df`` as a new version under ``base`` with its manifest, then commit
+    it. A version without rows is removed and refused. Returns the manifest.
+
+    By default the version takes the next free number, whatever was committed
+    meanwhile. With ``expected`` (the number of the commit it was derived from, 0
+    for none) it takes ``expected + 1`` or is removed again with ``PublishConflict``.
 
     Rows are sorted by ``(budget_band, location)`` inside each file, so row
     groups can be skipped; with ``num_files`` they are dealt into that many
@@ -162,8 +225,33 @@ def publish(df: DataFrame, base: str, version: str | None = None, num_files: int
         "output_path": target,
     }
     write_text(spark, f"{target}/{MANIFEST}", json.dumps(manifest, indent=2))
-    write_text(spark, f"{base.rstrip('/')}/{POINTER}", version)
-    return manifest
+    record = json.dumps({"version": version, "row_count": rows})
+    while True:
+        last = max(_numbers(spark, base), default=0)
+        number = last + 1 if expected is None else expected + 1
+        if number > last and create_text(spark, f"{base.rstrip('/')}/{COMMITS}/{number:020d}", record):
+            return manifest
+        if expected is not None:
+            fs, p = _fs(spark, target)
+            fs.delete(p, True)
+            raise PublishConflict(f"{base} has moved on since version {expected}")
+
+
+def retire(spark: SparkSession, base: str, keep: int = 2) -> list[str]:
+    """Remove all but the last ``keep`` versions (readers of older ones must be
+    done) and return their directories. Records go first, so that no commit names a directory that is gone."""
+    if keep < 1:
+        raise ValueError("keep: must be at least 1")
+    found = commits(spark, base)
+    old, kept = found[:-keep], {v for _, v in found[-keep:]}
+    for number, _ in old:
+        fs, p = _fs(spark, f"{base.rstrip('/')}/{COMMITS}/{number:020d}")
+        fs.delete(p, False)
+    gone = sorted({v for _, v in old} - kept)
+    for version in gone:
+        fs, p = _fs(spark, f"{base.rstrip('/')}/{version}")
+        fs.delete(p, True)
+    return gone
 
 
 def read_manifest(spark: SparkSession, base: str) -> dict:
@@ -174,11 +262,11 @@ def read_manifest(spark: SparkSession, base: str) -> dict:
 def ensure_listings(spark: SparkSession, base: str, build=None, allow_build: bool = True) -> str:
     """Return ``base`` when a published table exists; otherwise run ``build()``
     (which must publish there) when allowed, else raise."""
-    if path_exists(spark, f"{base.rstrip('/')}/{POINTER}"):
+    if commits(spark, base):
         return base
     if not allow_build or build is None:
         raise FileNotFoundError(f"{base} has no published listings and building them is not allowed")
     manifest = build()
-    if not manifest or int(manifest.get("row_count", 0)) <= 0 or not path_exists(spark, f"{base.rstrip('/')}/{POINTER}"):
+    if not manifest or int(manifest.get("row_count", 0)) <= 0 or not commits(spark, base):
         raise RuntimeError(f"the build for {base} ended without publishing any listing")
     return base
