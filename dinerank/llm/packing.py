@@ -36,6 +36,8 @@ from dinerank.llm.common import gapless, list_offsets, map_arrow, scratch, segme
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Pre-tokens a worker remembers before it starts anew.
 CACHE_ENTRIES = 400_000
+#: Bytes of text worked on at once: a token takes some fifty bytes of arrays.
+SLICE = 2 << 20
 
 
 class WordIds:
@@ -63,7 +65,7 @@ class WordIds:
         them, and of words that only the tokenizer can split."""
         pools, sizes = [self.pool], [self.size]
         blocks = [plain[lo:lo + 50] for lo in range(0, len(plain), 50)]
-        for block, e in zip(blocks, self.tokenizer.encode_batch_fast([" ".join(b) for b in blocks], add_special_tokens=False), strict=True):
+        for block, e in self._encoded(blocks, [" ".join(b) for b in blocks], self.tokenizer.encode_batch_fast):
             ids = np.array(e.ids, dtype=np.uint32)
             size = np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
             if len(size) != len(block):  # not one word each after all
@@ -72,11 +74,18 @@ class WordIds:
             for p in block:
                 self.known[p] = len(self.known)
             pools.append(ids), sizes.append(size)
-        for p, e in zip(other, self.tokenizer.encode_batch(other, add_special_tokens=False), strict=True):
+        for p, e in self._encoded(other, other, self.tokenizer.encode_batch):
             self.known[p] = len(self.known)
             pools.append(np.array(e.ids, dtype=np.uint32)), sizes.append(np.array([len(e.ids)]))
         self.pool, self.size = np.concatenate(pools), np.concatenate(sizes)
 
+    @staticmethod
+    def _encoded(names: list, texts: list[str], encode) -> Iterator[tuple]:
+        """``names`` with the encodings of ``texts``, which are far larger than their
+        ids: a few hundred are held at once."""
+        for lo in range(0, len(texts), 256):
+            yield from zip(names[lo:lo + 256], encode(texts[lo:lo + 256], add_special_tokens=False), strict=True)
+
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number per word)."""
         if len(self.known) > CACHE_ENTRIES:
@@ -119,7 +128,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int =
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if tokenizer not in _WORDS:
             _WORDS[tokenizer] = WordIds(tokenizer)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", SLICE):
             ids, offsets = _WORDS[tokenizer].texts(strings(part.column("_text")))
             row, piece, start, length, crc = [], [], [], [], []
             for r in range(part.num_rows):
