@@ -60,6 +60,12 @@ def distinct_cuisines(listings: DataFrame) -> DataFrame:
     return listings.select(F.explode("cuisines").alias("cuisine")).distinct().orderBy("cuisine")
 
 
+def vocabulary(values: DataFrame, kind: str, name: str) -> DataFrame:
+    """Sorted values of one kind (``city``, ``area`` or ``cuisine``) from the counted
+    values of a published version: no listing is read."""
+    return values.where(F.col("kind") == kind).select(F.col("value").alias(name)).orderBy(name)
+
+
 def _fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(rows, schema)
 
@@ -67,11 +73,15 @@ def _fixed(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
 def area_picker(listings: DataFrame) -> DataFrame:
     """``(block, pos, label)``: the fixed area labels, then up to 30 dataset
     areas not already offered (sorted), then the custom option."""
-    spark = listings.sparkSession
+    return pick_areas(distinct_areas(listings))
+
+
+def pick_areas(areas: DataFrame) -> DataFrame:
+    """:func:`area_picker` over distinct ``areas(area)``."""
+    spark = areas.sparkSession
     known = _fixed(spark, [(v.lower(),) for v in AREA_OPTIONS.values()], "known string")
     extras = (
-        distinct_areas(listings)
-        .join(F.broadcast(known), F.lower(F.col("area")) == F.col("known"), "left_anti")
+        areas.join(F.broadcast(known), F.lower(F.col("area")) == F.col("known"), "left_anti")
         .orderBy("area").limit(MAX_EXTRA_AREAS)
     )
     w = Window.orderBy("area")  # at most 30 rows: the limit is the feature
@@ -86,10 +96,14 @@ def cuisine_picker(listings: DataFrame) -> DataFrame:
     """``(block, pos, label)``: popular cuisines present in the vocabulary
     (equal to, or contained in, some tag), then up to 20 other tags
     title-cased and sorted."""
-    spark = listings.sparkSession
+    return pick_cuisines(distinct_cuisines(listings))
+
+
+def pick_cuisines(vocab: DataFrame) -> DataFrame:
+    """:func:`cuisine_picker` over a distinct vocabulary ``vocab(cuisine)``."""
+    spark = vocab.sparkSession
     popular = _fixed(spark, [(i + 1, c, c.lower()) for i, c in enumerate(POPULAR_CUISINES)],
                      "pos int, label string, key string")
-    vocab = distinct_cuisines(listings)
     # The ten fixed rows are the broadcast side of the substring join; the
     # vocabulary streams past them.
     hits = vocab.join(F.broadcast(popular), F.contains(vocab.cuisine, popular.key)).select("pos", "label", "key")
@@ -107,16 +121,25 @@ def cuisine_picker(listings: DataFrame) -> DataFrame:
 
 
 def cuisine_picker_at(spark: SparkSession, base: str) -> DataFrame:
-    """:func:`cuisine_picker` over the listings published at ``base``; the fixed
+    """:func:`cuisine_picker` from the values published at ``base``; the fixed
     list where there are none to read."""
-    from dinerank.sources.listings import scan_listings
+    from dinerank.sources.listings import commits, scan_listings, scan_values
 
     try:
+        if commits(spark, base):  # a committed version has rows
+            return pick_cuisines(vocabulary(scan_values(spark, base), "cuisine", "cuisine"))
         return cuisine_picker(scan_listings(spark, base))
     except (FileNotFoundError, ValueError):
         return _fixed(spark, [(0, i + 1, c) for i, c in enumerate(FALLBACK_CUISINES)], "block int, pos int, label string")
 
 
+def area_picker_at(spark: SparkSession, base: str) -> DataFrame:
+    """:func:`area_picker` from the values published at ``base``."""
+    from dinerank.sources.listings import scan_values
+
+    return pick_areas(vocabulary(scan_values(spark, base), "area", "area"))
+
+
 def resolve_area(picks: DataFrame, pick: str = "pick", custom: str = "custom") -> DataFrame:
     """Map an area pick to its filter value: the custom option takes the typed
     text, a known label its substring, anything else itself (stripped)."""

@@ -26,6 +26,7 @@ from dinerank.schemas import COST_COLUMN
 from dinerank.session import Scratch, cut_lineage
 from dinerank.sources import fixtures as fx
 from dinerank.sources import listings as io
+from dinerank.sources import pruned
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -120,6 +121,20 @@ def q_manifest(spark, sf):
     return spark.createDataFrame([(int(io.read_manifest(spark, base)["row_count"]),)], "row_count bigint")
 
 
+def published(spark, sf):
+    """The listing table as a job finds it: published once per session and source."""
+    key = ("published", id(spark), spark.sparkContext.applicationId, sf)
+    if key not in _MEMO:
+        base = scratch_dir(spark)
+        io.publish(listings(spark, sf), base)
+        _MEMO[key] = base
+    return _MEMO[key]
+
+
+def q_published_values(spark, sf):
+    return io.scan_values(spark, published(spark, sf))
+
+
 def q_scan_listings(spark, sf):
     base = scratch_dir(spark)
     io.publish(listings(spark, sf), base)
@@ -305,6 +320,12 @@ def q_lookup_by_ids(spark, sf):
     return io.lookup_by_ids(listings(spark, sf).select("id", "name"), ids)
 
 
+def q_published_lookup(spark, sf):
+    """The best listings overall, read again by their ids."""
+    best = match.top_listings(listings(spark, sf), DEFAULT.max_candidates).select("pos", "id")
+    return pruned.lookup_published(spark, published(spark, sf), best).select("pos", "id", "name", "location", "rating")
+
+
 def q_merge_replies(spark, sf):
     items, c = sanitized(spark, sf)
     recs = merge.merge_recommendations(items, c, valid(spark, sf))
@@ -330,6 +351,14 @@ def q_area_picker(spark, sf):
     return vocab.area_picker(listings(spark, sf))
 
 
+def q_published_area_picker(spark, sf):
+    return vocab.area_picker_at(spark, published(spark, sf))
+
+
+def q_published_cuisine_picker(spark, sf):
+    return vocab.cuisine_picker_at(spark, published(spark, sf))
+
+
 def q_batch_match(spark, sf):
     return match.batch_match(listings(spark, sf), requests(spark, sf))
 
@@ -435,6 +464,13 @@ def q_select_candidates(spark, sf):
     return cands.select("request_id", "pos", "id")
 
 
+def q_select_candidates_pruned(spark, sf):
+    """Candidates of the requests for cheap places, from a scan of what they can match."""
+    asked = requests(spark, sf).where(F.col("budget") == "low")
+    found = pruned.scan_matching(spark, published(spark, sf), asked)
+    return match.select_candidates(found, asked)[0].select("request_id", "pos", "id")
+
+
 def q_recommend_fallback(spark, sf):
     recs, _ = recommend(listings(spark, sf), requests(spark, sf), scratch=Scratch(spark))
     return recs.select("request_id", "rank", "listing_id", "explanation")
@@ -467,6 +503,14 @@ def q_score_prompts(spark, sf):
     return score.score_prompts(p)
 
 
+def q_score_journal(spark, sf):
+    """A second run over the same prompts: every reply is in the journal."""
+    p = pr.build_prompts(candidates(spark, sf), valid(spark, sf))
+    journal = f"{scratch_dir(spark)}/journal"
+    score.score_with_journal(p, journal, waves=2)
+    return score.score_with_journal(p, journal, waves=2)
+
+
 def q_reply_content(spark, sf):
     r = fx.replies(reply_items(spark, sf))
     body = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("raw").alias("content")).alias("message"))).alias("choices")))

@@ -314,5 +314,20 @@ select fb.request_id, fb.rank, fb.listing_id, c.name,
             when 'high' then 'High Budget' else 'Unknown budget' end as budget_chip,
        fb.explanation
 from fb join cands c on c.request_id = fb.request_id and c.id = fb.listing_id"""
+    q["published_values"] = _w(L) + """
+select kind, value, cast(null as varchar) as band, count(*) as n from (
+  select 'city' as kind, trim(city) as value from listings where trim(city) <> ''
+  union all select 'area', trim(locality) from listings where trim(locality) <> ''
+  union all select 'cuisine', unnest(list_distinct(cuisines)) from listings) group by kind, value
+union all
+select 'place', location, budget_band, count(*) from listings group by location, budget_band"""
+    q["published_lookup"] = _w(L) + (
+        f"select cast(row_number() over (order by {O.QUALITY}) as bigint) as pos, id, name, location, rating from ({dedup_all}) "
+        f"order by {O.QUALITY} limit 30")
+    q["published_area_picker"] = q["area_picker"]
+    q["published_cuisine_picker"] = q["cuisine_picker"]
+    q["select_candidates_pruned"] = _w(L, R, C) + (
+        "select request_id, cast(pos as bigint) as pos, id from cands join req using (request_id) where req.budget = 'low'")
+    q["score_journal"] = f"select request_id, raw, error, cast(0 as bigint) as attempts from ({q['score_prompts']})"
     q["reply_content"] = _w(L, R, C, RI) + "select request_id, raw as content from replies"
     return q

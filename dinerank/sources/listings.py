@@ -15,15 +15,17 @@ import json
 import uuid
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dinerank.functions.text import ustrip
 from dinerank.operators.ingest import position, with_row_index
 from dinerank.schemas import LISTING, RAW_COLUMNS, check_raw_columns
 
 COMMITS = "_commits"
 MANIFEST = "_manifest.json"
+VALUES = "_values"
 
 
 class PublishConflict(RuntimeError):
@@ -91,21 +93,38 @@ def read_text(spark: SparkSession, path: str) -> str:
 
 # ------------------------------------------------------------------- sources
 
-def scan_raw(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = None) -> DataFrame:
+def parquet_positions(df: DataFrame, name: str = "row_index") -> DataFrame:
+    """``df``, a scan of Parquet files, with the position of every row: its index in
+    its file, which the reader makes itself, after the rows of all files before (by
+    path). However splits are dealt or retried, a row keeps its position. The files'
+    row counts come from a scan without columns, that is from the footers."""
+    counts = df.groupBy(F.col("_metadata.file_path").alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
+    at = df.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.col("_metadata.row_index")})
+    return (at.join(offsets, "_file").withColumn(name, F.col("_offset") + F.col("_at"))
+            .select(*[F.col(f"`{c}`") for c in df.columns], name))
+
+
+def scan_raw(spark: SparkSession, path: str, fmt: str = "parquet", split: str | None = None, multiline: bool = True) -> DataFrame:
     """Raw listing rows: the known columns as strings (null where the source
     lacks an optional one) and ``row_index``, the row's position.
 
     The source's own schema is read, CSV columns by their header names, so
     required columns that are missing are noticed; ``split`` is a
-    sub-directory (e.g. 'train').
+    sub-directory (e.g. 'train'). A CSV file whose quoted values hold line breaks
+    can only be read by one task; with ``multiline=False`` none does, and the
+    file is split by byte ranges.
     """
     full = f"{path.rstrip('/')}/{split}" if split else path
     reader = spark.read
     if fmt == "csv":
-        reader = reader.options(header="true", multiLine="true", escape='"')
+        reader = reader.options(header="true", multiLine=str(multiline).lower(), escape='"')
     df = reader.format(fmt).load(full)
     check_raw_columns(df)
-    if "row_index" not in df.columns:
+    if "row_index" not in df.columns and fmt == "parquet":
+        df = parquet_positions(df)
+    elif "row_index" not in df.columns:
         df = with_row_index(df.withColumns({"_file": F.col("_metadata.file_path"), "_start": F.col("_metadata.file_block_start")}),
                             origin=["_file", "_start"])
     return df.select(*[(F.col(f"`{c}`") if c in df.columns else F.lit(None)).cast("string").alias(c) for c in RAW_COLUMNS],
@@ -166,6 +185,37 @@ def lookup_by_ids(listings: DataFrame, ids: DataFrame, id_col: str = "id", pos_c
     return wanted.join(listings.select("id", *rest), "id").select(*keep, "id", *rest).orderBy(pos_col)
 
 
+def count_values(listings: DataFrame) -> DataFrame:
+    """``kind, value, band, n``: how many listings have each ``city``, ``area`` and
+    ``cuisine`` (``band`` null), and each ``place``, that is a location with its band.
+
+    Cities and areas are stripped and not empty; a tag that a listing has twice
+    counts once. One column-pruned scan and one aggregate, combined before the shuffle.
+    """
+    def entry(kind: str, value, band=None):
+        band = F.lit(None).cast("string") if band is None else band
+        return F.struct(F.lit(kind).alias("kind"), value.alias("value"), band.alias("band"))
+
+    found = F.concat(
+        F.array(entry("city", ustrip(F.col("metadata.city"))), entry("area", ustrip(F.col("metadata.locality"))),
+                entry("place", F.col("location"), F.col("budget_band"))),
+        F.transform(F.coalesce(F.array_distinct("cuisines"), F.array().cast("array<string>")), lambda c: entry("cuisine", c)))
+    return (
+        listings.select(F.explode(found).alias("e")).select("e.*")
+        .where(F.col("value").isNotNull() & (~F.col("kind").isin("city", "area") | (F.col("value") != "")))
+        .groupBy("kind", "value", "band").agg(F.count(F.lit(1)).alias("n"))
+    )
+
+
+def scan_values(spark: SparkSession, base: str, number: int | None = None) -> DataFrame:
+    """The counted values (:func:`count_values`) of the last commit, or of commit
+    ``number``, as ``publish`` stored them; counted anew for a version without them."""
+    version = current_version(spark, base, number)
+    if path_exists(spark, f"{version}/{VALUES}"):
+        return spark.read.schema("kind string, value string, band string, n bigint").parquet(f"{version}/{VALUES}")
+    return count_values(scan_listings(spark, base, number))
+
+
 def reload_listings(spark: SparkSession, base: str) -> DataFrame:
     """Re-read the published table after a new version was swapped in
     (drops cached file listings of the old version first)."""
@@ -201,7 +251,9 @@ def publish(df: DataFrame, base: str, version: str | None = None, num_files: int
 
     Rows are sorted by ``(budget_band, location)`` inside each file, so row
     groups can be skipped; with ``num_files`` they are dealt into that many
-    files by ranges of the same columns.
+    files by ranges of the same columns. Row groups also carry a Bloom filter of
+    their ids. The version's counted values, which the vocabularies are read from,
+    are stored beside it, before the commit.
     """
     spark = df.sparkSession
     version = version or datetime.now(timezone.utc).strftime("v%Y%m%dT%H%M%S%f") + "-" + uuid.uuid4().hex[:6]
@@ -213,12 +265,17 @@ def publish(df: DataFrame, base: str, version: str | None = None, num_files: int
     if order:
         df = df.sortWithinPartitions(*order)
     # Counted last: dealing by ranges reads its input once more to sample it.
-    df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(target)
+    writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
+    if "id" in df.columns:
+        writer = writer.options(**{"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
+    writer.parquet(target)
     rows = int(obs.get["rows"])
     if rows == 0:
         fs, p = _fs(spark, target)
         fs.delete(p, True)
         raise ValueError(f"nothing to publish at {base}: the ingest left no rows")
+    if {"location", "budget_band", "cuisines", "metadata"} <= set(df.columns):
+        count_values(spark.read.schema(df.schema).parquet(target)).write.parquet(f"{target}/{VALUES}")
     manifest = {
         "row_count": rows,
         "ingested_at": datetime.now(timezone.utc).isoformat(),
