@@ -322,8 +322,8 @@ select kind, value, cast(null as varchar) as band, count(*) as n from (
 union all
 select 'place', location, budget_band, count(*) from listings group by location, budget_band"""
     q["published_lookup"] = _w(L) + (
-        f"select cast(row_number() over (order by {O.QUALITY}) as bigint) as pos, id, name, location, rating from ({dedup_all}) "
-        f"order by {O.QUALITY} limit 30")
+        f"select b.pos, id, l.name, l.location, l.rating from (select cast(row_number() over (order by {O.QUALITY}) as bigint) as pos, id "
+        f"from ({dedup_all}) order by {O.QUALITY} limit 30) b join listings l using (id)")
     q["published_area_picker"] = q["area_picker"]
     q["published_cuisine_picker"] = q["cuisine_picker"]
     q["select_candidates_pruned"] = _w(L, R, C) + (
