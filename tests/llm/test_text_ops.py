@@ -333,6 +333,39 @@ def test_random_tokens_are_added_and_text_is_not(make_docs):
     assert sum(bool(found[i]) for i in text if i >= 1000) == 0
 
 
+def test_keys_of_every_encoding_are_found(make_docs):
+    """Keys that are nearly all their alphabet has in the corpus: they are no part of the null."""
+    r = random.Random(8)
+    for name, alphabet in secrets.ENCODINGS.items():
+        keys = []
+        while len(keys) < 40:
+            k = "".join(r.choice(alphabet) for _ in range(32))
+            if secrets.encoding_of(k) == name and not secrets.HEX.search(k):
+                keys.append(k)
+            elif name == "hex_lower":  # the fixed pattern has these
+                break
+        if not keys:
+            continue
+        rows = [(i, f"{prose(i, 60)} see {k} end", "en") for i, k in enumerate(keys)]
+        rows += [(1000 + i, prose(i, 80) + " in 1987 and 42 more", "en") for i in range(400)]
+        found = {x["doc_id"]: x["found"] for x in secrets.scan(make_docs(rows)).collect()}
+        text = {i: t for i, t, _ in rows}
+        hit = sum(any(text[i][s["start"]:s["end"]] == k for s in found[i]) for i, k in enumerate(keys))
+        assert hit >= 0.9 * len(keys), (name, hit)
+        assert not any(found[i] for i in text if i >= 1000)
+
+
+def test_p_values_of_text_tokens_are_honest():
+    text = " ".join(prose(i, 200) for i in range(50)) + " 1987 42 365 2024 77"
+    counts = np.array([text.count(c) + 1 for c in secrets.LETTERS], dtype=float)
+    null = secrets.Null(counts / counts.sum())
+    for name, alphabet in secrets.ENCODINGS.items():
+        for length in (20, 30, 40, 70):
+            drawn = null.draw(name, length, 2000, seed=99)
+            p = np.array([10 ** -secrets.battery("".join(alphabet[c] for c in at), name, null) for at in drawn])
+            assert (p <= 0.05).mean() <= 0.1 and (p <= 0.001).mean() <= 0.01, (name, length)
+
+
 def test_secret_query_against_brute_force(spark):
     src = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
     for r in op8_secrets(spark, SF).collect():
