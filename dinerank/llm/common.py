@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,9 +70,16 @@ def give_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+#: Bytes of an Arrow batch between an executor and its Python workers. It is held
+#: on both sides; the default of 64 MB a task is a good part of a small executor.
+BATCH_BYTES = 8 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` with the package shipped to the workers, which give back
-    their memory after each task."""
+    their memory after each task. A session that allows larger Arrow batches
+    than BATCH_BYTES is set to that size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
@@ -80,9 +88,19 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
             give_back()
 
     ship_package(df.sparkSession)
+    conf = df.sparkSession.conf
+    if _bytes(conf.get(_BATCH_SETTING)) > BATCH_BYTES:
+        conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
+def _bytes(size: str) -> int:
+    """A byte size as Spark settings write it (``67108864b``, ``8m``); less than 1 means no limit."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
+    n = int(number) << 10 * " kmgtp".index(unit or " ")
+    return n if n > 0 else 1 << 62
+
+
 def scratch(df: DataFrame) -> Scratch:
     return Scratch(df.sparkSession)
 

@@ -176,11 +176,12 @@ class Network:
         count = np.maximum(1, -(-(length - w) // s) + 1)
         text = np.repeat(np.arange(len(length)), count)
         k = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count)
-        at = (offsets[:-1][text] + k * s)[:, None] + np.arange(w)
-        inside = at < offsets[1:][text][:, None]
-        if not len(codes):
-            return np.full(at.shape, -1), text
-        return np.where(inside, codes[np.minimum(at, len(codes) - 1)], -1), text
+        out = np.full((len(text), w), -1, np.int32)
+        start, stop = offsets[:-1][text] + k * s, offsets[1:][text]
+        for t in range(w if len(codes) else 0):
+            inside = start + t < stop
+            out[inside, t] = codes[start[inside] + t]
+        return out, text
 
     def score(self, column: pa.Array) -> np.ndarray:
         """Calibrated score of each whole text; one without words gets the score of silence."""
@@ -270,7 +271,7 @@ class Optimiser:
         p[name][unique] -= self.row_rate * total
 
 
-def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams(), prior: float | None = None) -> Network:
+def fit(texts: list[str] | pa.Array, labels: list[int], params: ToxicParams = ToxicParams(), prior: float | None = None) -> Network:
     """Train on whole texts with labels (0 or 1); a fifth of them calibrates.
     ``prior``: share of toxic texts where the network will be used (default:
     as in the sample). Labels of one kind, or none, give a network whose
@@ -281,8 +282,8 @@ def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams()
         return net
     rng = np.random.default_rng(params.seed + 1)
     y = np.array(labels, dtype=np.float32)
-    column = pa.array(texts, pa.large_string())
-    offsets, codes, words = _sequence(column)
+    offsets, codes, words = _sequence(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.large_string()))
+    give_back()
     vectors, *made = net.inputs(words)
     windows, text = net.windows(offsets, codes)
     first = np.flatnonzero(np.diff(text, prepend=-1))
@@ -295,7 +296,11 @@ def fit(texts: list[str], labels: list[int], params: ToxicParams = ToxicParams()
     net.refresh(vectors, np.arange(len(words)), made)
     epochs = max(params.epochs, -(-params.least_steps * params.batch // max(1, len(mine))))
     # Without the network: the window with the word of the strongest signal.
-    worst = _worst(np.append(signal, -np.inf)[windows].max(axis=1) + 1e-6 * rng.random(len(windows)), first, text)
+    padded = np.append(signal, -np.inf)
+    strongest = np.full(len(windows), -np.inf)
+    for t in range(windows.shape[1]):
+        np.maximum(strongest, padded[windows[:, t]], out=strongest)
+    worst = _worst(strongest + 1e-6 * rng.random(len(windows)), first, text)
     since = 0
     for epoch in range(epochs):
         if epoch >= params.blind_share * epochs and since >= params.rescore_steps:
@@ -413,7 +418,10 @@ def learned(docs: DataFrame, labels: DataFrame, learn: Column, params: ToxicPara
     A null or empty text is not learned from; without labels of both kinds
     the score is constant."""
     rows, prior = training_sample(docs, labels, learn, params, text_col, id_col)
-    net = fit([r["text"] for r in rows], [r["y"] for r in rows], params, prior)
+    texts, marks = pa.array([r["text"] for r in rows], pa.large_string()), [r["y"] for r in rows]
+    del rows  # the texts are held once while the network is fitted
+    give_back()
+    net = fit(texts, marks, params, prior)
     give_back()
     return net
 
