@@ -1,17 +1,18 @@
 """Benchmark decontamination by greedy string tiling.
 
-Texts and benchmark items are word sequences. Word shingles that a text shares
-with an item are seeds; an item whose seeds in a text can cover enough of it
-is compared with running Karp-Rabin greedy string tiling: the longest common
-runs of unmarked words are found by their fingerprints and marked first, then
-shorter ones, each word at most once. An item counts as leaked where the
+Texts and benchmark items are sequences of folded words: all letters in lower
+case, punctuation and symbols left out. Word shingles that a text shares with
+an item are seeds. A text that leaks an item shares at least a known number of
+its seeds, so each item is looked up by its rarest seeds only (all but one less
+than that number), by an equi-join with the seeds of the texts. Each pair
+found is compared with running Karp-Rabin greedy string tiling: the longest
+common runs of unmarked words are found by their fingerprints and marked first,
+then shorter ones, each word at most once. An item counts as leaked where the
 tiles cover at least ``coverage`` of it, in whatever order they stand in the text.
 
-The item set is read in blocks of bounded size; each block is sent to the
-tasks once and all texts stream past it, so nothing is shuffled and a larger
-benchmark means more blocks, not larger ones. A block's result is written to
-the job's folder and its table released before the next block is read, so
-driver and tasks hold one block at a time.
+Texts go by a 128-bit name of their content: copies are searched once, and only
+texts that hold a seed of the benchmark, by a bit table of fixed size over all its
+seeds, send anything to a shuffle. The benchmark never passes through the driver.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dinerank.llm.common import map_arrow, mix64, slices, strings
-from dinerank.llm.shingles import sequence_hashes, word_hashes
+from dinerank.llm.common import listed, map_arrow, mix64, slices, strings
+from dinerank.llm.shingles import folded_hashes, sequence_hashes
 from dinerank.session import Scratch
 
 _FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -38,8 +39,6 @@ class TilingParams:
     coverage: float = 0.8
     #: Length at which the search for long runs starts.
     first_length: int = 20
-    #: Bytes of benchmark text held at once.
-    block_bytes: int = 16 << 20
 
 
 def _fingerprints(words: np.ndarray, size: int) -> np.ndarray:
@@ -102,96 +101,185 @@ def tile(item: np.ndarray, text: np.ndarray, least: int, first: int = 20) -> lis
         size = size // 2 if size > 2 * least else least
 
 
-class Items:
-    """A block of benchmark items and the table of their seeds."""
-
-    def __init__(self, ids: list, texts: list[str], params: TilingParams):
-        self.ids, self.params = ids, params
-        words, offsets = word_hashes(pa.array(texts, pa.large_string()))
-        self.words = [words[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-        self.least = [min(params.words, len(w)) for w in self.words]
-        #: Per seed length: sorted seeds with the item and position of each.
-        self.seeds = {}
-        for size in sorted({k for k in self.least if k}):
-            h, item, at = [], [], []
-            for n, w in enumerate(self.words):
-                if self.least[n] == size:
-                    own = sequence_hashes(w, size)[: len(w) - size + 1]
-                    h.append(own), item.append(np.full(len(own), n)), at.append(np.arange(len(own)))
-            h = np.concatenate(h)
-            order = np.argsort(h, kind="stable")
-            self.seeds[size] = h[order], np.concatenate(item)[order], np.concatenate(at)[order]
-
-    def hits(self, column: pa.Array) -> list[list[tuple[int, float, int]]]:
-        """Per text ``(item number, coverage, tiles)`` of each leaked item."""
-        words, offsets = word_hashes(column)
-        out: list[list] = [[] for _ in range(len(column))]
-        owner = np.repeat(np.arange(len(column)), np.diff(offsets))
-        for size, (seed, item, at) in self.seeds.items():
-            every = sequence_hashes(words, size)
-            inside = np.arange(len(words)) + size <= offsets[1:][owner] if len(words) else np.zeros(0, bool)
-            place = np.searchsorted(seed, every)
-            match = inside & (seed[np.minimum(place, len(seed) - 1)] == every)
-            for r in np.unique(owner[match]).tolist():
-                lo, hi = offsets[r], offsets[r + 1]
-                shared = np.unique(every[lo:hi][match[lo:hi]])
-                first, last = np.searchsorted(seed, shared, "left"), np.searchsorted(seed, shared, "right")
-                rows = np.concatenate([np.arange(a, b) for a, b in zip(first, last, strict=True)])
-                for n in np.unique(item[rows]).tolist():
-                    reach = np.zeros(len(self.words[n]), bool)
-                    for p in at[rows[item[rows] == n]].tolist():
-                        reach[p:p + size] = True
-                    if reach.sum() < self.params.coverage * len(reach):
-                        continue  # tiles lie within the seeds
-                    tiles = tile(self.words[n], words[lo:hi], size, self.params.first_length)
-                    covered = sum(k for _, _, k in tiles) / len(reach)
-                    if covered >= self.params.coverage:
-                        out[r].append((n, covered, len(tiles)))
-        return out
+#: Bits of the table over all seeds of the benchmark. Where a benchmark is so large
+#: that it fills up, more seeds of texts go to the join; none is lost.
+SEED_BITS = 1 << 24
+
+_NAME = "_k1 long, _k2 long"
+#: Bytes of text worked on at once.
+_SLICE = 2 << 20
+
+
+def _name(text: Column) -> list[Column]:
+    """A 128-bit name of a text's content."""
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
+
+
+def _seed_length(words: int, params: TilingParams) -> int:
+    return min(params.words, words)
+
+
+def _item_seeds(params: TilingParams):
+    """``_i1, _i2, _seed, _size, _words`` of every place of every item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_t", _SLICE):
+            words, at = folded_hashes(strings(part.column("_t")))
+            seeds, row, size, count = [np.zeros(0, np.uint64)], [], [], []
+            for r, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                if hi > lo:
+                    k = _seed_length(hi - lo, params)
+                    seeds.append(sequence_hashes(words[lo:hi], k)[: hi - lo - k + 1])
+                    row += [r] * len(seeds[-1])
+                    size += [k] * len(seeds[-1])
+                    count += [hi - lo] * len(seeds[-1])
+            row = pa.array(row, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_k1").take(row), part.column("_k2").take(row), pa.array(np.concatenate(seeds).view(np.int64)),
+                 pa.array(size, pa.int32()), pa.array(count, pa.int32())], names=["_i1", "_i2", "_seed", "_size", "_words"])
+
+    return run
+
+
+def _text_seeds(shared, sizes: list[int]):
+    """``_k1, _k2, _seed`` of the distinct seeds of each text that the bit table has."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for part in slices(batches, "_t", _SLICE):
+            words, at = folded_hashes(strings(part.column("_t")))
+            owner = np.repeat(np.arange(part.num_rows), np.diff(at))
+            left = at[1:][owner] - np.arange(len(words))  # words from here to the text's end
+            found, rows = [], []
+            for size in sizes:
+                every = sequence_hashes(words, size)
+                bit = every & np.uint64(SEED_BITS - 1)
+                hit = (left >= size) & ((table[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool)
+                pairs = np.unique(np.stack([owner[hit], every[hit].view(np.int64)]), axis=1) if hit.any() else np.zeros((2, 0), np.int64)
+                rows.append(pairs[0])
+                found.append(pairs[1])
+            row = pa.array(np.concatenate(rows))
+            yield pa.RecordBatch.from_arrays(
+                [part.column("_k1").take(row), part.column("_k2").take(row), pa.array(np.concatenate(found))], names=["_k1", "_k2", "_seed"])
+
+    return run
+
+
+def _compare(params: TilingParams):
+    """Pairs of which the item is leaked. Rows come sorted by text: the text itself
+    (``_i1`` null), then its candidate items, one at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        text, seeds = np.zeros(0, np.uint64), {}
+        for part in slices(batches, "_t", _SLICE):
+            words, at = folded_hashes(strings(part.column("_t")))
+            is_text = part.column("_i1").is_null().to_numpy(zero_copy_only=False)
+            rows, coverage, count = [], [], []
+            for r, (lo, hi) in enumerate(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)):
+                if is_text[r]:
+                    text, seeds = words[lo:hi].copy(), {}
+                    continue
+                item, n = words[lo:hi], hi - lo
+                size = _seed_length(n, params)
+                if size not in seeds:
+                    seeds[size] = np.unique(sequence_hashes(text, size)[: max(0, len(text) - size + 1)])
+                own = sequence_hashes(item, size)[: n - size + 1]
+                shared = _among(own, seeds[size])
+                reach = np.zeros(n + 1, np.int64)
+                np.add.at(reach, np.flatnonzero(shared), 1)
+                np.add.at(reach, np.flatnonzero(shared) + size, -1)
+                if (np.cumsum(reach)[:n] > 0).sum() < params.coverage * n:
+                    continue  # tiles lie within the seeds
+                tiles = tile(item, text, size, params.first_length)
+                covered = sum(k for _, _, k in tiles) / n
+                if covered >= params.coverage:
+                    rows.append(r), coverage.append(covered), count.append(len(tiles))
+            row = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [*[part.column(c).take(row) for c in ("_k1", "_k2", "_i1", "_i2")], pa.array(coverage, pa.float64()), pa.array(count, pa.int32())],
+                names=["_k1", "_k2", "_i1", "_i2", "coverage", "tiles"])
+
+    return run
+
+
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values the sorted array holds."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
+def _rarest(seeds: DataFrame, hits: DataFrame, params: TilingParams) -> DataFrame:
+    """``_i1, _i2, _seed`` by which items are looked up.
+
+    A tile of L words holds L - size + 1 places of seeds, at least L / size, so a text
+    that covers c words of an item shares c / size of its places or more. Leaving out
+    fewer places than that loses no text; those with the commonest seeds are left out.
+    """
+    common = hits.groupBy("_seed").agg(F.count(F.lit(1)).alias("_f"))
+    places = seeds.groupBy("_i1", "_i2", "_seed", "_size", "_words").agg(F.count(F.lit(1)).alias("_p")).join(common, "_seed")
+    order = Window.partitionBy("_i1", "_i2").orderBy(F.desc("_f"), "_seed").rowsBetween(Window.unboundedPreceding, 0)
+    need = F.ceil(F.lit(params.coverage) * F.col("_words") / F.col("_size") - 1e-9)
+    return places.withColumn("_upto", F.sum("_p").over(order)).where(F.col("_upto") >= need).select("_i1", "_i2", "_seed")
+
+
+def _bit_table(seeds: DataFrame) -> np.ndarray:
+    """SEED_BITS bits, set for every seed: at most SEED_BITS / 64 rows reach the driver."""
+    bit = F.col("_seed").bitwiseAND(F.lit(SEED_BITS - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    rows = seeds.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("bits")).toArrow()
+    table = np.zeros(SEED_BITS >> 6, np.uint64)
+    table[rows.column("at").to_numpy()] = rows.column("bits").to_numpy().view(np.uint64)
+    return table
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, params: TilingParams = TilingParams(), text_col: str = "text",
           item_col: str = "item_id", item_text: str = "text", out: str = "leaks") -> DataFrame:
-    """``docs`` with the column ``out``: array of ``struct<item_id, coverage, tiles>``, one per leaked item.
+    """``docs`` with the column ``out``: array of ``struct<item_id, coverage, tiles>``, one per leaked item, by item id.
 
     A null or empty text leaks nothing; an item that is null or without words
-    is leaked nowhere; an item shorter than a seed must stand as a whole. Every
-    row is judged by itself and kept; repeated items are listed each. All
-    columns of ``docs`` come back as they are; if one is named ``out`` the new
-    column takes its place. An empty benchmark gives empty arrays. With several
-    blocks the rows are written once per block but the last.
+    (of letters or digits) is leaked nowhere; an item shorter than a seed must
+    stand as a whole. Every row is judged by itself and kept; repeated items are
+    listed each. All columns of ``docs`` come back as they are, whatever their
+    names; if one is named ``out`` the new column takes its place. An empty
+    benchmark gives empty arrays, an empty table stays empty. Long texts are
+    searched as wholes.
     """
     spark = docs.sparkSession
-    kind = benchmark.schema[item_col].dataType.simpleString()
-    shape = f"array<struct<item_id:{kind},coverage:double,tiles:int>>"
+    job = Scratch(spark)
+    kind = benchmark.schema[item_col].dataType
     docs = docs.drop(out)
-    names = docs.columns
-    items = benchmark.select(F.col(item_col).alias("i"), F.col(item_text).cast("string").alias("t")).where("length(trim(t)) > 0")
-    size = items.agg(F.coalesce(F.sum(F.octet_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // params.block_bytes))
-    result = docs.withColumn(out, F.array().cast(shape))
-    shared = job = None
-    for block in range(blocks):
-        own = items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t").collect() if size else []
-        if not own:
-            continue
-        if shared is not None:
-            job = job or Scratch(spark)
-            result = job.cut(result)
-            shared.destroy()
-        shared = spark.sparkContext.broadcast(Items([r["i"] for r in own], [r["t"] for r in own], params))
-        result = map_arrow(result, _pass(shared, names, text_col, out), ", ".join(
-            f"`{f.name}` {f.dataType.simpleString()}" for f in result.schema.fields))
-    return result
-
-
-def _pass(shared, names: list[str], text_col: str, out: str):
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
-        for part in slices(batches, text_col, 2 << 20):
-            hits = items.hits(strings(part.column(text_col)))
-            before = part.column(out).to_pylist()
-            both = [b + [{"item_id": items.ids[n], "coverage": c, "tiles": k} for n, c, k in h] for b, h in zip(before, hits, strict=True)]
-            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names], pa.array(both, part.column(out).type)], names=[*names, out])
-
-    return search
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    text = F.col(f"c{docs.columns.index(text_col)}").cast("string")
+    texts = plain.where(F.length(text) > 0).select(text.alias("_t"), *_name(text))
+    items = job.cut(benchmark.select(F.col(item_col).alias("item_id"), F.col(item_text).cast("string").alias("_t")).where("length(_t) > 0")
+                    .select("*", *_name(F.col("_t"))))
+    once = items.groupBy("_k1", "_k2").agg(F.first("_t").alias("_t"))
+    seeds = job.cut(map_arrow(once, _item_seeds(params), "_i1 long, _i2 long, _seed long, _size int, _words int"))
+    sizes = sorted(r["_size"] for r in seeds.select("_size").distinct().collect())  # at most params.words
+    if not sizes:
+        empty = F.array().cast(f"array<struct<item_id:{kind.simpleString()},coverage:double,tiles:int>>")
+        return docs.withColumn(out, empty)
+
+    shared = spark.sparkContext.broadcast(_bit_table(seeds))
+    hits = job.cut(map_arrow(texts, _text_seeds(shared, sizes), f"{_NAME}, _seed long").join(
+        seeds.select("_seed").distinct(), "_seed", "left_semi"))
+    pairs = job.cut(hits.join(_rarest(seeds, hits, params), "_seed").select("_k1", "_k2", "_i1", "_i2").distinct())
+    # Texts of the pairs, once each, and behind each text its items.
+    own = listed(texts, pairs, ["_k1", "_k2"], "_listed").where("_listed").groupBy("_k1", "_k2").agg(F.first("_t").alias("_t"))
+    own = own.join(pairs.select("_k1", "_k2").distinct(), ["_k1", "_k2"], "left_semi")
+    none = F.lit(None).cast("long")
+    both = own.select("_k1", "_k2", none.alias("_i1"), none.alias("_i2"), "_t").unionByName(
+        pairs.join(once.toDF("_i1", "_i2", "_t"), ["_i1", "_i2"]).select("_k1", "_k2", "_i1", "_i2", "_t"))
+    ordered = both.repartition("_k1", "_k2").sortWithinPartitions("_k1", "_k2", F.col("_i1").asc_nulls_first(), "_i2")
+    leaked = map_arrow(ordered, _compare(params), f"{_NAME}, _i1 long, _i2 long, coverage double, tiles int")
+    ids = items.select("item_id", F.col("_k1").alias("_i1"), F.col("_k2").alias("_i2"))
+    found = job.cut(leaked.join(ids, ["_i1", "_i2"]).groupBy("_k1", "_k2").agg(
+        F.sort_array(F.collect_list(F.struct("item_id", "coverage", "tiles"))).alias("_leaks")))
+    # Only rows that may leak something meet the finds.
+    marked = listed(plain.select("*", *_name(text)), found, ["_k1", "_k2"], "_listed")
+    kept = [f"c{k}" for k in range(len(docs.columns))]
+    nothing = F.array().cast(found.schema["_leaks"].dataType)
+    clean = marked.where(~F.col("_listed")).select(*kept, nothing.alias("_leaks"))
+    rest = marked.where("_listed").join(found, ["_k1", "_k2"], "left").select(*kept, F.coalesce("_leaks", nothing).alias("_leaks"))
+    return clean.unionByName(rest).toDF(*docs.columns, out)

@@ -33,7 +33,17 @@ def string_hashes(words: pa.Array) -> np.ndarray:
 
 def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(hash of every word in order, offsets per text) of a column without nulls."""
-    parts = pc.ascii_split_whitespace(pc.ascii_lower(column))
+    return _hashes(pc.ascii_split_whitespace(pc.ascii_lower(column)))
+
+
+def folded_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Like :func:`word_hashes`, of words that keep only letters, marks and digits,
+    all in lower case; words without any are left out."""
+    plain = pc.replace_substring_regex(pc.utf8_lower(column), r"[^\p{L}\p{M}\p{N}\p{Z}\s]+", "")
+    return _hashes(pc.utf8_split_whitespace(plain))
+
+
+def _hashes(parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     flat, offsets = parts.flatten(), list_offsets(parts)
     kept = pc.binary_length(flat).to_numpy(zero_copy_only=False) > 0
     offsets = np.concatenate([[0], np.cumsum(kept)])[offsets]

@@ -108,26 +108,16 @@ def test_texts_with_runs_of_white_space_are_counted_by_pre_tokens(monkeypatch):
     assert len(asked) == len(set(asked)) and max(len(x.split()) for x in asked) <= 1
 
 
-def test_one_block_of_the_benchmark_is_held_at_a_time(spark, make_docs, monkeypatch):
-    items = [(k, prose(300 + k, 20)) for k in range(12)]
-    docs = make_docs([(k, f"{prose(500 + k, 30)} {t} {items[(k + 5) % 12][1]}", "en") for k, t in items] + [(None, None, "en")])
-    sc, send, sent, held = spark.sparkContext, spark.sparkContext.broadcast, [], []
-
-    def broadcast(value):
-        b = send(value)
-        if isinstance(value, decontamination.Items):
-            sent.append(b)
-            destroy = b.destroy
-            monkeypatch.setattr(b, "destroy", lambda *x: (held.remove(b), destroy(*x)))
-            held.append(b)
-            assert len(held) == 1
-        return b
-
-    monkeypatch.setattr(sc, "broadcast", broadcast)
-    found = decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string"), decontamination.TilingParams(block_bytes=300))
-    got = {r["doc_id"]: sorted(x["item_id"] for x in r["leaks"]) for r in found.collect()}
-    assert got == {None: []} | {k: sorted((k, (k + 5) % 12)) for k in range(12)}
-    assert len(sent) > 2 and len(held) == 1
+def test_copies_are_searched_once_and_all_answered(spark, make_docs):
+    """A third of the rows are copies of one leaking text; items are repeated too."""
+    items = [(k, prose(300 + k, 20)) for k in range(12)] + [(20, prose(300, 20))]
+    rows = [(k, f"{prose(500 + k, 30)} {t} {items[(k + 5) % 12][1]}", "en") for k, t in items[:12]]
+    docs = make_docs(rows * 2 + [(100 + n, rows[0][1], "en") for n in range(40)] + [(200 + n, prose(800 + n, 50), "en") for n in range(60)] + [(None, None, "en")])
+    found = decontamination.leaks(docs, spark.createDataFrame(items, "item_id long, text string"))
+    got = [(r["doc_id"], [x["item_id"] for x in r["leaks"]]) for r in found.collect()]
+    first = {k: sorted({k, (k + 5) % 12} | ({20} if 0 in (k, (k + 5) % 12) else set())) for k in range(12)}
+    want = [(k, first[k]) for k in range(12)] * 2 + [(100 + n, first[0]) for n in range(40)] + [(200 + n, []) for n in range(60)] + [(None, [])]
+    assert sorted(map(str, got)) == sorted(map(str, want))
 
 
 def test_toxicity_is_calibrated_on_whole_texts(spark, make_docs):
