@@ -532,6 +532,26 @@ def q_stream_recommend(spark, sf):
     return read_answers(spark, f"{base}/out").select("request_id", "rank", "listing_id", "explanation")
 
 
+def q_stream_replies(spark, sf):
+    """Requests and replies arrive as two streams; a reply is (request_id * 7) mod 20
+    minutes late, and counts within ten. The last file moves the clock on by a day."""
+    from dinerank.streaming.replies_stream import answer_reply_stream
+    from dinerank.streaming.requests_stream import read_answers
+
+    base = scratch_dir(spark)
+    io.publish(listings(spark, sf), f"{base}/listings")
+    asked_at = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("request_id"))
+    requests(spark, sf).withColumn("asked_at", asked_at).repartition(4).write.parquet(f"{base}/requests")
+    late = F.make_dt_interval(mins=(F.col("request_id") * 7 % 20).cast("int"))
+    replied = fx.replies(reply_items(spark, sf)).select("request_id", "raw", (asked_at + late).alias("replied_at"))
+    end = replied.agg(F.lit(-1).cast("long").alias("request_id"), F.lit(None).cast("string").alias("raw"),
+                      (F.max("replied_at") + F.expr("interval 1 day")).alias("replied_at"))
+    replied.unionByName(end).write.parquet(f"{base}/replies")
+    q = answer_reply_stream(spark, f"{base}/listings", f"{base}/requests", f"{base}/replies", f"{base}/out", f"{base}/ckpt")
+    q.awaitTermination()
+    return read_answers(spark, f"{base}/out").select("request_id", "rank", "listing_id", "explanation", "source")
+
+
 QUERIES: dict[str, Query] = {
     name[2:]: fn for name, fn in sorted(globals().items()) if name.startswith("q_") and callable(fn)
 }

@@ -276,6 +276,11 @@ group by c.request_id, r.top_k, r.location, r.budget, r.cuisine, r.min_rating, r
 select request_id, rank, listing_id, explanation, source from recs where request_id % 10 in (0, 1, 2)
 union all
 select request_id, rank, listing_id, explanation, source from fb where request_id % 10 not in (0, 1, 2)"""
+    in_time = "(request_id % 10 in (0, 1, 2) and request_id * 7 % 20 <= 10)"
+    q["stream_replies"] = _w(L, R, C, RI, SAN, merge_ctes(), FALLBACK_RECS) + f"""
+select request_id, rank, listing_id, explanation, source from recs where {in_time}
+union all
+select request_id, rank, listing_id, explanation, source from fb where not {in_time}"""
     fb_summary = _fmt(FALLBACK_SUMMARY, "cast(least(r.top_k, c.cc) as varchar)", "r.cuisine", "r.location", "r.budget")
     q["responses"] = _w(L, R, C, STATS, """
 x as (select r.*, t.total, c.cc, r.request_id % 10 in (0, 1, 2) and c.cc > 0 as ok
