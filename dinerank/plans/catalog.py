@@ -253,7 +253,7 @@ def q_fallback_summary(spark, sf):
     recs = merge.merge_recommendations(None, candidates(spark, sf), valid(spark, sf))
     n = recs.groupBy("request_id").agg(F.count(F.lit(1)).alias("n"))
     v = valid(spark, sf)
-    return v.join(n, "request_id").select(
+    return v.join(n.hint("merge"), "request_id").select(
         "request_id", merge.fallback_summary(F.col("n"), F.col("cuisine"), F.col("location"), F.col("budget")).alias("summary"))
 
 
@@ -429,7 +429,7 @@ def q_top_candidates(spark, sf):
 def q_recommend_topk(spark, sf):
     c = candidates(spark, sf)
     v = valid(spark, sf).select("request_id", "top_k")
-    return c.join(v, "request_id").where(F.col("pos") <= F.col("top_k")).select("request_id", "pos", "id")
+    return c.join(v.hint("merge"), "request_id").where(F.col("pos") <= F.col("top_k")).select("request_id", "pos", "id")
 
 
 # ------------------------------------------------------------ 2.9 replies
