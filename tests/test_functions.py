@@ -87,3 +87,9 @@ def test_unicode_strip_matches_python(spark):
 @pytest.mark.parametrize("text", ["north indian", "cafe's north-indian", "brand#13", "3rd street", "", "ÉCOLE du café"])
 def test_title_case_matches_python(spark, text):
     assert one(spark, title_case, text) == text.title()
+
+
+def test_each_parsed_value_is_computed_once(spark):
+    df = spark.createDataFrame([("300-500",)], "v string")
+    for parse, step in ((parse_cost, "regexp_extract_all("), (parse_rating, "regexp_extract("), (extract_city, "split("), (parse_votes, "trim(")):
+        assert df.select(parse(F.col("v")).alias("r"))._jdf.queryExecution().optimizedPlan().toString().count(step) == 1, parse

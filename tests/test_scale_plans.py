@@ -56,3 +56,41 @@ def test_top_candidates_per_request_have_no_broadcast(spark, monkeypatch, asked)
     assert "Broadcast" not in plan(df)
     assert df.groupBy("request_id").count().select("count").distinct().count() == 1
     assert "Broadcast" not in plan(catalog.q_fallback_summary(spark, ""))
+
+
+def test_raw_source_has_as_many_files_as_its_rows_need(spark, monkeypatch):
+    import glob
+
+    from conftest import raw_df, raw_row
+    from dinerank.plans import catalog
+
+    rows = raw_df(spark, [raw_row(i) for i in range(200)])
+    monkeypatch.setattr(catalog, "raw", lambda *_: rows)
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        path = catalog._raw_source(spark, "")
+    finally:
+        spark.conf.set(name, before)
+    files = glob.glob(f"{path.removeprefix('file:')}/train/part-*.parquet")
+    assert len(files) == int(spark.conf.get("spark.sql.shuffle.partitions"))  # was 4, whatever the input
+
+
+def test_positions_do_not_deal_rows_by_file(spark):
+    from conftest import raw_df, raw_row
+    from dinerank.sources import listings as io
+
+    scratch = Scratch(spark)
+    path = scratch.table_path()
+    raw_df(spark, [raw_row(i, name=f"n{i:03d}") for i in range(50)]).drop("row_index").coalesce(1).write.parquet(path)
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")  # as for a table of many files
+    try:
+        df = io.scan_raw(spark, path)
+        assert "SortMergeJoin" not in plan(df)
+        assert [(r.name, r.row_index) for r in df.orderBy("row_index").collect()] == [(f"n{i:03d}", i) for i in range(50)]
+    finally:
+        spark.conf.set(name, before)
+        scratch.close()
