@@ -26,7 +26,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +33,9 @@ from dinerank.llm.common import gapless, list_offsets, map_arrow, scratch, segme
 
 #: Fixed value: the pre-token pattern of the word vocabulary.
 PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words of these characters are split by Arrow: there both pattern engines, and both
+#: ways to lower-case, agree (no white space, no dotted capital I, nothing beyond Latin).
+PLAIN = r"^[!-~\x{a1}-\x{12f}\x{131}-\x{24f}]+$"
 #: Pre-tokens a worker remembers before it starts anew.
 CACHE_ENTRIES = 400_000
 #: Bytes of text worked on at once: a token takes some fifty bytes of arrays.
@@ -50,20 +52,19 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.split = regex.compile(PRE_TOKEN).findall
         ends = np.zeros(self.tokenizer.get_vocab_size(), dtype=bool)
         ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.ends = ends
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = pa.array([], pa.large_string())  # an entry each, like the sizes
         self.pool, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def _learn(self, plain: list[str], other: list[str]) -> None:
         """Add ids of plain pre-tokens, encoded as one text whose word ends part
         them, and of words that only the tokenizer can split."""
-        pools, sizes = [self.pool], [self.size]
+        keys, pools, sizes = [], [self.pool], [self.size]
         blocks = [plain[lo:lo + 50] for lo in range(0, len(plain), 50)]
         for block, e in self._encoded(blocks, [" ".join(b) for b in blocks], self.tokenizer.encode_batch_fast):
             ids = np.array(e.ids, dtype=np.uint32)
@@ -71,13 +72,13 @@ class WordIds:
             if len(size) != len(block):  # not one word each after all
                 other = [*other, *block]
                 continue
-            for p in block:
-                self.known[p] = len(self.known)
+            keys += block
             pools.append(ids), sizes.append(size)
         for p, e in self._encoded(other, other, self.tokenizer.encode_batch):
-            self.known[p] = len(self.known)
+            keys.append(p)
             pools.append(np.array(e.ids, dtype=np.uint32)), sizes.append(np.array([len(e.ids)]))
         self.pool, self.size = np.concatenate(pools), np.concatenate(sizes)
+        self.known = pa.concat_arrays([self.known, pa.array(keys, pa.large_string())])
 
     @staticmethod
     def _encoded(names: list, texts: list[str], encode) -> Iterator[tuple]:
@@ -86,26 +87,47 @@ class WordIds:
         for lo in range(0, len(texts), 256):
             yield from zip(names[lo:lo + 256], encode(texts[lo:lo + 256], add_special_tokens=False), strict=True)
 
-    def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _entries(self, plain: pa.Array, other: pa.Array) -> np.ndarray:
+        """Entries of plain pre-tokens and of other words, learned where they are new."""
+        keys = pa.concat_arrays([plain, other])
+        at, first = pc.index_in(keys, value_set=self.known), len(self.known)
+        if at.null_count:
+            new = pc.is_null(at)
+            fresh = plain.filter(new.slice(0, len(plain))).to_pylist()
+            own = set(fresh)
+            self._learn(fresh, [w for w in other.filter(new.slice(len(plain))).to_pylist() if w not in own])
+            late = pc.index_in(keys.filter(new), value_set=self.known.slice(first))
+            at = pc.replace_with_mask(at, new, pc.add(late, pa.scalar(first, pa.int32())))
+        return at.to_numpy().astype(np.int64)
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words in order, number per word)."""
         if len(self.known) > CACHE_ENTRIES:
             self._forget()
-        # Latin words are lower-cased and split here; anything else, and what
+        # Plain words are lower-cased and split here; anything else, and what
         # may hold a special token, goes to the tokenizer as it is.
-        plain = [(w.isascii() or max(w) < "ɐ" and "İ" not in w) and "<|" not in w for w in words]
-        parts = [self.split(w.lower()) if ok else [w] for w, ok in zip(words, plain, strict=True)]
-        new = {p: ok for part, ok in zip(parts, plain, strict=True) for p in part if p not in self.known}
-        if new:
-            self._learn([p for p, ok in new.items() if ok], [p for p, ok in new.items() if not ok])
-        flat = np.array([self.known[p] for part in parts for p in part], dtype=np.int64)
-        ends = np.cumsum([0, *map(len, parts)])
+        plain = pc.and_not(pc.match_substring_regex(words, PLAIN), pc.match_substring(words, "<|"))
+        lower, other = pc.utf8_lower(words.filter(plain)), words.filter(pc.invert(plain))
+        mixed = pc.invert(pc.match_substring_regex(lower, r"^\p{L}+$"))
+        spaced = pc.replace_substring_regex(lower.filter(mixed), f"({PRE_TOKEN})", r"\1 ")
+        parts = pc.split_pattern(pc.replace_with_mask(lower, mixed, pc.utf8_rtrim(spaced, " ")), " ")
+        coded = parts.flatten().dictionary_encode()
+        entries = self._entries(coded.dictionary, other)
+        # Entries of all words in order: those of plain words' parts, one of any other word.
+        plain = plain.to_numpy(zero_copy_only=False)
+        each = np.ones(len(words), dtype=np.int64)
+        each[plain] = np.diff(list_offsets(parts))
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = np.empty(int(ends[-1]), dtype=np.int64)
+        flat[np.repeat(plain, each)] = entries[coded.indices.to_numpy()]
+        flat[np.repeat(~plain, each)] = entries[len(coded.dictionary):]
         return _gather(self.pool, self.size, flat), segment_sums(self.size[flat], ends)
 
     def texts(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(all ids in order, offsets per text) of a string column without nulls."""
         parts = pc.ascii_split_whitespace(column)
         offsets, coded = list_offsets(parts), parts.flatten().dictionary_encode()
-        pool, size = self.words(coded.dictionary.to_pylist())
+        pool, size = self.words(coded.dictionary)
         codes = coded.indices.to_numpy().astype(np.int64)
         return _gather(pool, size, codes), np.concatenate([[0], np.cumsum(size[codes])]).astype(np.int64)[offsets]
 
