@@ -72,7 +72,7 @@ def give_back() -> None:
 
 #: Bytes of an Arrow batch between an executor and its Python workers. It is held
 #: on both sides; the default of 64 MB a task is a good part of a small executor.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 _BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 

@@ -50,8 +50,10 @@ class ToxicParams:
     seed: int = 5
 
 
-#: Windows worked on at once when scoring (memory: times window x hidden).
-WINDOWS = 4096
+#: Windows worked on at once (memory: times window x hidden), in training and when scoring.
+WINDOWS, SCORED = 4096, 512
+#: Bytes of text scored at once: a word takes some sixty bytes of arrays.
+SLICE = 512 << 10
 
 
 def _sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -147,12 +149,12 @@ class Network:
         pooled = np.einsum("tn,tfn->fn", a, states)
         return self.p["out"] @ pooled + self.p["out_b"][0], (g, a, pooled)
 
-    def logits(self, codes: np.ndarray, table: dict[str, np.ndarray]) -> np.ndarray:
+    def logits(self, codes: np.ndarray, table: dict[str, np.ndarray], most: int = WINDOWS) -> np.ndarray:
         """Logit of each window; ``codes`` (window, time) index the projected
         words of ``table``, -1 is padding."""
         out = np.empty(len(codes), np.float32)
-        for lo in range(0, len(codes), WINDOWS):
-            c = np.ascontiguousarray(codes[lo:lo + WINDOWS].T)
+        for lo in range(0, len(codes), most):
+            c = np.ascontiguousarray(codes[lo:lo + most].T)
             mask = (c >= 0).astype(np.float32)
             both = []
             for side in "fb":
@@ -160,7 +162,7 @@ class Network:
                 for t in range(len(c)):
                     x[t] = table[side][c[t]].T
                 both.append(self.run(x, mask, side))
-            out[lo:lo + WINDOWS] = self.pool(np.concatenate(both, axis=1), mask)[0]
+            out[lo:lo + most] = self.pool(np.concatenate(both, axis=1), mask)[0]
         return out
 
     def project(self, vectors: np.ndarray) -> dict[str, np.ndarray]:
@@ -192,7 +194,7 @@ class Network:
         table = self.project(vectors)
         windows, text = self.windows(offsets, codes)
         worst = np.full(len(column), -np.inf)
-        np.maximum.at(worst, text, self.logits(windows, table).astype(np.float64))
+        np.maximum.at(worst, text, self.logits(windows, table, SCORED).astype(np.float64))
         return 1 / (1 + np.exp(-np.clip(self.scale * worst + self.shift, -60, 60)))
 
     # -------------------------------------------------------------- training
@@ -444,7 +446,7 @@ def score_texts(docs: DataFrame, net: Network, threshold: float = 0.3, text_col:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
-        for part in slices(batches, "_text_", 2 << 20):
+        for part in slices(batches, "_text_", SLICE):
             s = net.score(strings(part.column("_text_")))
             yield pa.RecordBatch.from_arrays(
                 [*part.columns[:-1], pa.array(s), pa.array((s >= threshold).astype(np.int32))],
