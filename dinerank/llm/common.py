@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dinerank.session import Scratch, ship_package
+from dinerank.session import Scratch, byte_size, ship_package
 
 #: Bytes of text worked on at once inside a task; a longer text is a slice of its own.
 SLICE_BYTES = 8 << 20
@@ -89,18 +88,11 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     ship_package(df.sparkSession)
     conf = df.sparkSession.conf
-    if _bytes(conf.get(_BATCH_SETTING)) > BATCH_BYTES:
+    if byte_size(conf.get(_BATCH_SETTING)) > BATCH_BYTES:
         conf.set(_BATCH_SETTING, str(BATCH_BYTES))
     return df.mapInArrow(run, schema)
 
 
-def _bytes(size: str) -> int:
-    """A byte size as Spark settings write it (``67108864b``, ``8m``); less than 1 means no limit."""
-    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
-    n = int(number) << 10 * " kmgtp".index(unit or " ")
-    return n if n > 0 else 1 << 62
-
-
 def scratch(df: DataFrame) -> Scratch:
     return Scratch(df.sparkSession)
 

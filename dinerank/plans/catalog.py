@@ -23,7 +23,7 @@ from dinerank.operators import display, ingest as ing, match, merge, prompts as
 from dinerank.params import DEFAULT
 from dinerank.plans.recommend import recommend, run_ingest
 from dinerank.schemas import COST_COLUMN
-from dinerank.session import Scratch, cut_lineage
+from dinerank.session import SPLIT_ROWS, Scratch, cut_lineage
 from dinerank.sources import fixtures as fx
 from dinerank.sources import listings as io
 from dinerank.sources import pruned
@@ -57,7 +57,7 @@ def listings(spark, sf):
     memory), so the catalogue's plans start from a materialised table."""
     key = (id(spark), spark.sparkContext.applicationId, sf)
     if key not in _MEMO:
-        _MEMO[key] = cut_lineage(ing.ingest(raw(spark, sf)))
+        _MEMO[key] = cut_lineage(ing.ingest(raw(spark, sf)), SPLIT_ROWS)
     return _MEMO[key]
 
 

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -86,15 +90,16 @@ class Scratch:
             self._made = True
         return f"{self.path}/{name or uuid.uuid4().hex}"
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """Write ``df`` once as Parquet and return a scan of the table.
+    def cut(self, df: DataFrame, rows_per_file: int = 0) -> DataFrame:
+        """Write ``df`` once as Parquet and return a scan of the table. With
+        ``rows_per_file`` no file, hence no row group, holds more rows than that.
 
         Survives executor loss (shared storage, not executor memory), cuts
         the lineage and gives the planner real statistics.
         ``DataFrame.checkpoint`` would evaluate the plan twice.
         """
         path = self.table_path()
-        df.write.parquet(path)
+        df.write.option("maxRecordsPerFile", rows_per_file).parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def close(self) -> None:
@@ -110,9 +115,46 @@ class Scratch:
         self.close()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
+def cut_lineage(df: DataFrame, rows_per_file: int = 0) -> DataFrame:
     """One written intermediate table outside any job scope (see Scratch)."""
-    return Scratch(df.sparkSession).cut(df)
+    return Scratch(df.sparkSession).cut(df, rows_per_file)
+
+
+def byte_size(size: str) -> int:
+    """A byte size as Spark settings write it (``67108864b``, ``8m``); less than 1 means no limit."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", size.lower()).groups()
+    n = int(number) << 10 * " kmgtp".index(unit or " ")
+    return n if n > 0 else 1 << 62
+
+
+#: Bytes of files that a task reads where it has to sort what it read, rows in memory
+#: taking ten times as much and more; and rows of a file written to be read so.
+SPLIT_BYTES, SPLIT_ROWS = 32 << 20, 500_000
+_SPLIT_SETTING = "spark.sql.files.maxPartitionBytes"
+_splits_lock = threading.Lock()
+_splits_before: dict = {}
+
+
+@contextlib.contextmanager
+def small_splits(spark: SparkSession) -> Iterator[None]:
+    """Scans that start inside read at most SPLIT_BYTES a task (or one row group, which
+    is never cut). The session's own setting, if larger, is back when the last of the
+    jobs inside at the same time has left."""
+    key = id(spark._jsparkSession)
+    with _splits_lock:
+        inside, before = _splits_before.get(key, (0, spark.conf.get(_SPLIT_SETTING)))
+        _splits_before[key] = inside + 1, before
+        if byte_size(before) > SPLIT_BYTES:
+            spark.conf.set(_SPLIT_SETTING, str(SPLIT_BYTES))
+    try:
+        yield
+    finally:
+        with _splits_lock:
+            inside, before = _splits_before.pop(key)
+            if inside > 1:
+                _splits_before[key] = inside - 1, before
+            else:
+                spark.conf.set(_SPLIT_SETTING, before)
 
 
 _SHIPPED: set = set()

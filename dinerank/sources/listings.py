@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from dinerank.functions.text import ustrip
 from dinerank.operators.ingest import position, with_row_index
 from dinerank.schemas import LISTING, RAW_COLUMNS, check_raw_columns
+from dinerank.session import small_splits
 
 COMMITS = "_commits"
 MANIFEST = "_manifest.json"
@@ -269,7 +270,8 @@ def publish(df: DataFrame, base: str, version: str | None = None, num_files: int
     writer = df.observe(obs, F.count(F.lit(1)).alias("rows")).write.mode("overwrite")
     if "id" in df.columns:
         writer = writer.options(**{"parquet.bloom.filter.enabled#id": "true", "parquet.bloom.filter.adaptive.enabled": "true"})
-    writer.parquet(target)
+    with small_splits(spark):  # a task sorts all it reads
+        writer.parquet(target)
     rows = int(obs.get["rows"])
     if rows == 0:
         fs, p = _fs(spark, target)
