@@ -58,12 +58,13 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = plain.columns
     worded = F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     own = plain.where(worded).withColumn("_h", F.xxhash64("text"))
-    # One row per text. Only texts met twice are ranked, and each task hands on its first row of a text.
+    # One row per text. Only texts met twice are ranked, and each task hands on its first row of a text. Only those are
+    # written: the texts met once, most of the table, are read again from the stage's input wherever they are needed.
     twice = job.cut(own.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h"))
     marked = listed(own, twice, ["_h"], "_listed")
     rank = F.row_number().over(Window.partitionBy("_h", "text").orderBy(F.col("doc_id").asc_nulls_last(), F.xxhash64(*kept)))
-    first = marked.where("_listed").withColumn("_r", rank).where("_r = 1").drop("_r")
-    one = job.cut(marked.where(~F.col("_listed")).unionByName(first).drop("_listed"))
+    first = job.cut(marked.where("_listed").withColumn("_r", rank).where("_r = 1").drop("_r"))
+    one = marked.where(~F.col("_listed")).unionByName(first).drop("_listed")
     groups = near_dedup.near_duplicates(one, near_dedup.NearParams(percent=80, bands=48, rows=5), id_col="_h")
     groups = job.cut(groups.select("_h", "component_id").distinct())
     linked = groups.join(one.select("_h", "doc_id"), "_h")
